@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quoin.llm.bpe import encode_corpus
+from quoin.llm.history import first_rows
 from quoin.llm.topn import top_n
 from quoin.runtime import table
 
 PER_SOURCE = 12
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_rows(table(spark, sf_dir, "story"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     story = table(spark, sf_dir, "story")
     return top_n(story, "sourceId", "timestamp", ["id", "row_id"], PER_SOURCE).select("sourceId", "row_id")
@@ -23,6 +28,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p6_ids": p6_ids,
 }
