@@ -8,12 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quoin.llm.bpe import encode_corpus
 from quoin.llm.history import first_rows
+from quoin.llm.mojibake import garbled_values, restored_values
 from quoin.llm.topn import top_n
 from quoin.runtime import table
 
 PER_SOURCE = 12
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled_values(table(spark, sf_dir, "story"))
+
+
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return restored_values(table(spark, sf_dir, "story"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_rows(table(spark, sf_dir, "story"))
 
@@ -28,6 +37,8 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_restored": p1_restored,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p6_ids": p6_ids,
