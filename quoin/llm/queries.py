@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quoin.llm.bpe import encode_corpus
 from quoin.llm.history import first_rows
 from quoin.llm.mojibake import garbled_values, restored_values
+from quoin.llm.packing import fill, pack
 from quoin.llm.topn import top_n
 from quoin.runtime import table
 
@@ -36,12 +37,22 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_spec"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill(p7_containers(spark, sf_dir), table(spark, sf_dir, "container_spec"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_restored": p1_restored,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p6_ids": p6_ids,
+    "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
 }
 
 ORACLE_SQL: dict[str, str] = {
