@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quoin.llm.bpe import encode_corpus
 from quoin.llm.history import first_rows
+from quoin.llm.language import languages, mislabelled, passages
 from quoin.llm.mojibake import garbled_values, restored_values
 from quoin.llm.packing import fill, pack
 from quoin.llm.topn import top_n
@@ -45,6 +46,18 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill(p7_containers(spark, sf_dir), table(spark, sf_dir, "container_spec"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mislabelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes"))
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes"))
+
+
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_restored": p1_restored,
@@ -53,6 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_passages": p8_passages,
+    "p8_documents": p8_documents,
 }
 
 ORACLE_SQL: dict[str, str] = {
