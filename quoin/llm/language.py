@@ -143,7 +143,7 @@ class Classifier:
     def __init__(self, p: Profiles):
         self.langs = p.langs
         self.gram_id = {g: i for i, g in enumerate(p.ranks)}
-        self.ranks = np.stack([*p.ranks.values(), np.full(len(p.langs), PROFILE, np.int32)]) if p.ranks else np.zeros((1, len(p.langs)), np.int32)
+        self.ranks = np.stack([*p.ranks.values(), np.full(len(p.langs), PROFILE)]).astype(np.int16) if p.ranks else np.zeros((1, len(p.langs)), np.int16)
         self.none = len(self.gram_id)
         self._forget()
 
@@ -162,14 +162,14 @@ class Classifier:
             named = w[0].isupper() and w[1:2].islower()
             w = w.lower()
             ids = np.array([self.gram_id.get(g, self.none) for g in grams(w)], np.int32)
-            self.word_grams.append(ids)
+            self.word_grams.append(ids[ids != self.none])
             if i >= len(self.sums):
                 more = len(self.sums)
                 self.sums = np.vstack([self.sums, np.zeros((more, len(self.langs)), np.float32)])
                 self.sizes = np.r_[self.sizes, np.zeros(more, np.float32)]
                 self.letters = np.r_[self.letters, np.zeros(more, np.int32)]
                 self.name = np.r_[self.name, np.zeros(more, bool)]
-            self.sums[i] = self.ranks[ids].sum(0) / PROFILE
+            self.sums[i] = self.ranks[ids].sum(0, dtype=np.int64) / PROFILE
             self.sizes[i] = len(ids)
             self.letters[i] = len(w) * (3 if _WIDE.search(w) else 1)
             self.name[i] = named
@@ -177,49 +177,63 @@ class Classifier:
 
     def out_of_place(self, words: np.ndarray) -> np.ndarray:
         """Distance of a text, given by its words, to each profile: 0 the same order, 1 nothing in common."""
-        ids, n = np.unique(words, return_counts=True)
-        got = [self.word_grams[i] for i in ids.tolist()]
-        per = np.concatenate(got)
-        weight = np.repeat(n, [len(g) for g in got])
-        total = np.bincount(per, weight, self.none + 1)
-        total[self.none] = 0  # what is in no profile is as far from each
-        k = min(TOP, int(np.count_nonzero(total)))
-        if not k:
+        known = self.word_grams
+        # what is in no profile is as far from each and is not counted
+        total = np.bincount(np.concatenate([known[i] for i in words.tolist()]), minlength=1)
+        some = np.flatnonzero(total)
+        if not len(some):
             return np.ones(len(self.langs))
-        top = np.argpartition(-total, k - 1)[:k] if k < len(total) else np.arange(len(total))
-        top = top[np.argsort(-total[top], kind="stable")]
-        counts = total[top]
-        first = np.searchsorted(-counts, -counts, "left")  # equal counts share a rank
+        counts = -total[some]
+        if len(some) > 2 * TOP:  # the TOP first are among those no rarer than the TOP-th
+            least = np.partition(counts, TOP - 1)[TOP - 1]
+            near = np.flatnonzero(counts <= least)
+            counts, some = counts[near], some[near]
+        order = np.argsort(counts, kind="stable")[:TOP]
+        counts, top = counts[order], some[order]
+        first = np.searchsorted(counts, counts, "left").astype(np.int16)  # equal counts share a rank
         ranks = self.ranks[top]
-        gap = np.where(ranks >= PROFILE, PROFILE, np.abs(ranks - first[:, None]))
-        return gap.mean(0) / PROFILE
+        gap = np.abs(ranks - first[:, None])
+        gap[ranks >= PROFILE] = PROFILE
+        return gap.sum(0, dtype=np.int64) / (PROFILE * len(top))
 
-    def sentences(self, toks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sentences(self, toks: list[str]) -> tuple[list[int], list[int], list[bool]]:
         """Word ids, where the sentences begin in them, and whether each ends with a stop."""
-        if len(self.word_grams) > WORDS_KEPT:
-            self._forget()
         ids, starts, stopped, fresh = [], [], [], True
-        word = self.word
+        known, word = self.word_id, self.word
         for t in toks:
             if t[0].isalpha():
                 if fresh:
                     starts.append(len(ids))
                     stopped.append(False)
                     fresh = False
-                ids.append(word(t))
+                i = known.get(t)
+                ids.append(word(t) if i is None else i)
             else:
                 if not fresh:
                     stopped[-1] = t > "\r"
                 fresh = True
-        return np.array(ids, np.int64), np.array(starts, np.int64), np.array(stopped, bool)
+        return ids, starts, stopped
 
     def passages(self, text: str) -> list[tuple[int, int, str, float]]:
         """(first sentence, sentences, language, confidence) of a text, in order; [] without a sentence."""
-        ids, starts, stopped = self.sentences(tokens(text))
-        if not len(ids):
-            return []
-        whole = self.out_of_place(ids)
-        main = int(np.argmin(whole))
+        return self.passages_of([text])[0]
+
+    def passages_of(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
+        """The passages of many texts at once."""
+        if len(self.word_grams) > WORDS_KEPT:
+            self._forget()
+        ids, starts, stopped, at = [], [], [], []  # of all texts, one after another
+        for text in texts:
+            a, b, c = self.sentences(tokens(text)) if text else ([], [], [])
+            at.append((len(ids), len(ids) + len(a), len(starts), len(starts) + len(b)))
+            starts += [x + len(ids) for x in b]
+            ids += a
+            stopped += c
+        if not ids:
+            return [[] for _ in texts]
+        ids, starts, stopped = np.array(ids, np.int64), np.array(starts, np.int64), np.array(stopped, bool)
+        whole = [self.out_of_place(ids[a:b]) if b > a else None for a, b, _, _ in at]
+        main = np.repeat([int(np.argmin(w)) if w is not None else 0 for w in whole], [d - c for _, _, c, d in at])
         plain = ~self.name[ids]  # names tell nothing of the sentence they are in
         plain[starts] = True
         sums = np.add.reduceat(self.sums[ids] * plain[:, None], starts, 0)
@@ -228,30 +242,30 @@ class Classifier:
         words = np.add.reduceat(plain.astype(np.int64), starts)
         words = np.maximum(words, letters // (3 * LEAST_LETTERS) * LEAST_WORDS)  # scripts without blanks
         near = sums / np.maximum(sizes, 1)[:, None]
-        best = near.argmin(1)
-        lead = near[:, main] - near[np.arange(len(best)), best]
+        best, row = near.argmin(1), np.arange(len(near))
+        lead = near[row, main] - near[row, best]
         full = (letters >= LEAST_LETTERS) & (words >= LEAST_WORDS)
         other = (best != main) & full & np.where(stopped, lead >= LEAD, (lead >= OPEN_LEAD) & (words >= 2 * LEAST_WORDS))
-        lang = np.where(other, best, main)
-        out = []
+        lang, ends = np.where(other, best, main), np.r_[starts[1:], len(ids)]
+        return [self._cut(ids, starts[c:d], ends[c:d], lang[c:d], int(main[c]), w) if d > c else [] for (_, _, c, d), w in zip(at, whole)]
+
+    def _cut(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, lang: np.ndarray, main: int, whole: np.ndarray) -> list[tuple[int, int, str, float]]:
+        """Runs of sentences of one language; a run in another than the document's must be so as a text of its own."""
         cuts = [0, *(np.flatnonzero(lang[1:] != lang[:-1]) + 1).tolist(), len(lang)]
-        ends = np.r_[starts, len(ids)]
+        out: list[tuple[int, int, str, float]] = []
         for a, z in zip(cuts, cuts[1:]):
             x = int(lang[a])
-            own = whole if z - a == len(lang) else self.out_of_place(ids[ends[a] : ends[z]])
+            own = whole if z - a == len(lang) else self.out_of_place(ids[starts[a] : ends[z - 1]])
             if x != main and int(np.argmin(own)) != x:
                 x = main
             rest = np.delete(own, x)
-            sure = float((rest.min() - own[x]) / max(rest.min(), 1e-9)) if len(rest) else 1.0
-            out.append((a, z - a, self.langs[x], max(0.0, min(1.0, sure))))
-        merged = out[:1]
-        for p in out[1:]:
-            q = merged[-1]
-            if q[2] == p[2]:
-                merged[-1] = (q[0], q[1] + p[1], q[2], max(q[3], p[3]))
+            sure = max(0.0, min(1.0, float((rest.min() - own[x]) / max(rest.min(), 1e-9)))) if len(rest) else 1.0
+            if out and out[-1][2] == self.langs[x]:
+                q = out[-1]
+                out[-1] = (q[0], q[1] + z - a, q[2], max(q[3], sure))
             else:
-                merged.append(p)
-        return merged
+                out.append((a, z - a, self.langs[x], sure))
+        return out
 
 
 def passages(docs: DataFrame, lang_codes: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
@@ -272,11 +286,13 @@ def passages(docs: DataFrame, lang_codes: DataFrame, id_col: str = "doc_id", tex
         c = Classifier(profiles)
         for b in batches:
             at, cols = [], [[], [], [], [], []]
-            for i, text in enumerate(b.column(2).to_pylist()):
-                for k, p in enumerate(c.passages(text) if profiles.langs else []):
-                    at.append(i)
-                    for x, v in zip(cols, (k, *p)):
-                        x.append(v)
+            for s in range(0, b.num_rows, 100):
+                texts = b.column(2).slice(s, 100).to_pylist()
+                for i, got in enumerate(c.passages_of(texts) if profiles.langs else [], s):
+                    for k, p in enumerate(got):
+                        at.append(i)
+                        for x, v in zip(cols, (k, *p)):
+                            x.append(v)
             take = pa.array(at, pa.int64())
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *[pa.array(x, t) for x, t in zip(cols, kinds)]], names=["doc_id", "label", "passage_no", "first_sentence", "sentences", "lang", "confidence"])
