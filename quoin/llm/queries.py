@@ -11,6 +11,7 @@ from quoin.llm.history import first_rows
 from quoin.llm.language import languages, mislabelled, passages
 from quoin.llm.mojibake import garbled_values, restored_values
 from quoin.llm.packing import fill, pack
+from quoin.llm.residue import residue_values, without_residue
 from quoin.llm.topn import top_n
 from quoin.runtime import table
 
@@ -34,6 +35,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(story, "sourceId", "timestamp", ["id", "row_id"], PER_SOURCE).select("sourceId", "row_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue_values(table(spark, sf_dir, "story"))
+
+
+def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_residue(table(spark, sf_dir, "story"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -63,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_restored": p1_restored,
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_kept": p4_kept,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
