@@ -137,42 +137,49 @@ def train(docs: DataFrame, lang: Column, text_col: str = "text") -> Profiles:
     return Profiles(langs, ranks)
 
 
+class _Words(dict):
+    """Numbers of words, given at first sight; what ends a sentence has -2 with a stop, -1 without."""
+
+    def __init__(self, add):
+        self.add = add
+
+    def __missing__(self, t: str) -> int:
+        i = self[t] = self.add(t) if t[0].isalpha() else -2 if t > "\r" else -1
+        return i
+
+
 class Classifier:
     """Distances of documents and sentences to the profiles; one a task, words remembered."""
 
     def __init__(self, p: Profiles):
         self.langs = p.langs
         self.gram_id = {g: i for i, g in enumerate(p.ranks)}
-        self.ranks = np.stack([*p.ranks.values(), np.full(len(p.langs), PROFILE)]).astype(np.int16) if p.ranks else np.zeros((1, len(p.langs)), np.int16)
-        self.none = len(self.gram_id)
+        self.ranks = np.stack([*p.ranks.values()]).astype(np.int16) if p.ranks else np.zeros((0, len(p.langs)), np.int16)
         self._forget()
 
     def _forget(self) -> None:
-        self.word_id: dict[str, int] = {}
+        self.word_id = _Words(self._add)
         self.word_grams: list[np.ndarray] = []
         self.sums = np.zeros((1024, len(self.langs)), np.float32)
         self.sizes = np.zeros(1024, np.float32)
         self.letters = np.zeros(1024, np.int32)
         self.name = np.zeros(1024, bool)
 
-    def word(self, w: str) -> int:
-        i = self.word_id.get(w)
-        if i is None:
-            i = self.word_id[w] = len(self.word_grams)
-            named = w[0].isupper() and w[1:2].islower()
-            w = w.lower()
-            ids = np.array([self.gram_id.get(g, self.none) for g in grams(w)], np.int32)
-            self.word_grams.append(ids[ids != self.none])
-            if i >= len(self.sums):
-                more = len(self.sums)
-                self.sums = np.vstack([self.sums, np.zeros((more, len(self.langs)), np.float32)])
-                self.sizes = np.r_[self.sizes, np.zeros(more, np.float32)]
-                self.letters = np.r_[self.letters, np.zeros(more, np.int32)]
-                self.name = np.r_[self.name, np.zeros(more, bool)]
-            self.sums[i] = self.ranks[ids].sum(0, dtype=np.int64) / PROFILE
-            self.sizes[i] = len(ids)
-            self.letters[i] = len(w) * (3 if _WIDE.search(w) else 1)
-            self.name[i] = named
+    def _add(self, w: str) -> int:
+        i = len(self.word_grams)
+        if i >= len(self.sums):
+            for name in ("sums", "sizes", "letters", "name"):
+                x = getattr(self, name)
+                setattr(self, name, np.concatenate([x, np.zeros_like(x)]))
+        self.name[i] = w[0].isupper() and w[1:2].islower()
+        w = w.lower()
+        every = grams(w)
+        gram_id = self.gram_id
+        ids = np.array([gram_id[g] for g in every if g in gram_id], np.int32)
+        self.word_grams.append(ids)
+        self.sums[i] = self.ranks[ids].sum(0, dtype=np.int32) / PROFILE + (len(every) - len(ids))
+        self.sizes[i] = len(every)
+        self.letters[i] = len(w) * (3 if _WIDE.search(w) else 1)
         return i
 
     def out_of_place(self, words: np.ndarray) -> np.ndarray:
@@ -196,24 +203,6 @@ class Classifier:
         gap[ranks >= PROFILE] = PROFILE
         return gap.sum(0, dtype=np.int64) / (PROFILE * len(top))
 
-    def sentences(self, toks: list[str]) -> tuple[list[int], list[int], list[bool]]:
-        """Word ids, where the sentences begin in them, and whether each ends with a stop."""
-        ids, starts, stopped, fresh = [], [], [], True
-        known, word = self.word_id, self.word
-        for t in toks:
-            if t[0].isalpha():
-                if fresh:
-                    starts.append(len(ids))
-                    stopped.append(False)
-                    fresh = False
-                i = known.get(t)
-                ids.append(word(t) if i is None else i)
-            else:
-                if not fresh:
-                    stopped[-1] = t > "\r"
-                fresh = True
-        return ids, starts, stopped
-
     def passages(self, text: str) -> list[tuple[int, int, str, float]]:
         """(first sentence, sentences, language, confidence) of a text, in order; [] without a sentence."""
         return self.passages_of([text])[0]
@@ -222,16 +211,25 @@ class Classifier:
         """The passages of many texts at once."""
         if len(self.word_grams) > WORDS_KEPT:
             self._forget()
-        ids, starts, stopped, at = [], [], [], []  # of all texts, one after another
+        flat: list[int] = []
+        ends_at = []
+        number = self.word_id.__getitem__
         for text in texts:
-            a, b, c = self.sentences(tokens(text)) if text else ([], [], [])
-            at.append((len(ids), len(ids) + len(a), len(starts), len(starts) + len(b)))
-            starts += [x + len(ids) for x in b]
-            ids += a
-            stopped += c
-        if not ids:
+            if text:
+                flat += map(number, tokens(text))
+            flat.append(-1)  # no sentence goes on in the next text
+            ends_at.append(len(flat))
+        toks = np.array(flat, np.int64)
+        is_word = toks >= 0
+        ids = toks[is_word]
+        if not len(ids):
             return [[] for _ in texts]
-        ids, starts, stopped = np.array(ids, np.int64), np.array(starts, np.int64), np.array(stopped, bool)
+        before = np.r_[False, is_word[:-1]]
+        opens, closes = is_word & ~before, ~is_word & before
+        words_to, sentences_to = np.r_[0, np.cumsum(is_word)], np.r_[0, np.cumsum(opens)]
+        starts, stopped = words_to[:-1][opens], toks[closes] == -2
+        from_ = [0, *ends_at[:-1]]
+        at = list(zip(words_to[from_].tolist(), words_to[ends_at].tolist(), sentences_to[from_].tolist(), sentences_to[ends_at].tolist()))
         whole = [self.out_of_place(ids[a:b]) if b > a else None for a, b, _, _ in at]
         main = np.repeat([int(np.argmin(w)) if w is not None else 0 for w in whole], [d - c for _, _, c, d in at])
         plain = ~self.name[ids]  # names tell nothing of the sentence they are in
