@@ -69,25 +69,33 @@ def grams(word: str) -> list[str]:
 
 
 def tokens(text: str) -> list[str]:
-    t = text if text.isascii() else unicodedata.normalize("NFC", _INVISIBLE.sub("", text))
-    return _TOKEN.findall(t)
+    if not text.isascii():
+        text = _INVISIBLE.sub("", text)
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+    return _TOKEN.findall(text)
 
 
 def _words_by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[tuple[str, str]] = Counter()
+    counts: dict[str, Counter[str]] = {}
 
     def flush():
-        keys = list(counts)
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
+        langs, found, n = [], [], []
+        for lang, of in counts.items():
+            for w, k in of.items():
+                if w[0].isalpha():
+                    langs.append(lang)
+                    found.append(w.lower())
+                    n.append(k)
         counts.clear()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for w, n in Counter(tokens(text)).items():
-                if w[0].isalpha():
-                    counts[lang, w.lower()] += n
-        if len(counts) > 300_000:
+            if lang not in counts:
+                counts[lang] = Counter()
+            counts[lang].update(tokens(text))
+        if sum(map(len, counts.values())) > 300_000:
             yield flush()
     yield flush()
 
@@ -203,6 +211,13 @@ class Classifier:
         gap[ranks >= PROFILE] = PROFILE
         return gap.sum(0, dtype=np.int64) / (PROFILE * len(top))
 
+    def nearest(self, text: str) -> str | None:
+        """The language nearest to a short text as one sentence; None without words or profiles."""
+        if len(self.word_grams) > WORDS_KEPT:
+            self._forget()
+        ids = [i for i in map(self.word_id.__getitem__, tokens(text)) if i >= 0]
+        return self.langs[int(self.sums[ids].sum(0).argmin())] if ids and self.langs else None
+
     def passages(self, text: str) -> list[tuple[int, int, str, float]]:
         """(first sentence, sentences, language, confidence) of a text, in order; [] without a sentence."""
         return self.passages_of([text])[0]
