@@ -13,6 +13,7 @@ from quoin.llm.mojibake import garbled_values, restored_values
 from quoin.llm.packing import fill, pack
 from quoin.llm.residue import residue_values, without_residue
 from quoin.llm.topn import top_n
+from quoin.llm.truncation import cut_shares, cut_values
 from quoin.runtime import table
 
 PER_SOURCE = 12
@@ -43,6 +44,14 @@ def p4_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_residue(table(spark, sf_dir, "story"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_values(*(table(spark, sf_dir, t) for t in ("story", "documents", "lang_codes")))
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_shares(*(table(spark, sf_dir, t) for t in ("story", "documents", "lang_codes")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -74,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_kept": p4_kept,
+    "p5_found": p5_found,
+    "p5_shares": p5_shares,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
