@@ -81,15 +81,17 @@ def tail(text: str) -> tuple[str, str, str, int] | None:
     t = text.rstrip()
     if not t:
         return None
-    if _OPEN_TAG.search(t[-220:]):
-        return "broken", "", "", 0
-    m = _MARK.search(t)
     state = "open"
-    if m:
-        state = "soft" if _SOFT.search(t) else "marked"
-        t = t[: m.start()].rstrip()
-        if not t:
-            return None
+    bare = t[-8:].rstrip(_CLOSE)
+    if not bare or bare[-1] not in ".!?。！？" or bare.endswith(("..", ". .")):  # else it ends with a stop, as most do
+        if _OPEN_TAG.search(t[-220:]):
+            return "broken", "", "", 0
+        m = _MARK.search(t[-90:])
+        if m:
+            state = "soft" if _SOFT.search(t[-90:]) else "marked"
+            t = t[: len(t) - len(m[0])].rstrip()
+            if not t:
+                return None
     c = chunks(t[-160:])
     if not c:
         return None
@@ -166,7 +168,7 @@ def _tails(fields: tuple[str, ...], profiles: Profiles, shared):
                     if state != "closed" and residue(model, text):
                         continue
                     at.append(i)
-                    for x, v in zip(out, (f, c.nearest(text[-200:]), state, long_, short_, len(text.rstrip()), text.count(" ") + 1, comma, text.rstrip()[-48:])):
+                    for x, v in zip(out, (f, c.nearest(text[-100:]), state, long_, short_, len(text.rstrip()), text.count(" ") + 1, comma, text.rstrip()[-48:])):
                         x.append(v)
             take = pa.array(at, pa.int64())
             kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
