@@ -269,9 +269,16 @@ def learn(rows: DataFrame, source_col: str = "sourceId", title_col: str = "title
     spread = once.groupBy("key").agg(F.count("*").alias("spread"), F.count_if("is_title").alias("titles"), F.min("t").alias("t")).where((F.col("spread") >= SPREAD) & (F.col("titles") >= 2))
     trusted = [(r.t, r.spread) for r in spread.orderBy(F.desc("spread"), "key").limit(TRUSTED_MAX).collect()]
     values = rows.select(F.explode(F.array(*[F.col(f"`{f}`") for f in fields])).alias("v"), F.xxhash64(F.col(f"`{id_col}`")).alias("h")).where("v is not null and trim(v) <> ''")
-    marked = values.where(r"v rlike '[{%\\[<*#@_$]'").where(F.length("v") <= 200)
-    made = [r.v for r in marked.orderBy("h", "v").limit(UNLABELLED_MAX).select("v").collect()]
-    unlabelled = [r.v for r in values.orderBy("h", "v").limit(UNLABELLED_MAX).select("v").collect()]
+    marks = F.col("v").rlike(r"[{%\[<*#@_$]") & (F.length("v") <= 200)
+    total, n_marked = values.agg(F.count("*"), F.count_if(marks)).first()
+
+    def sample(of: DataFrame, n: int) -> list[str]:
+        """About UNLABELLED_MAX values, and no more, by a range of the hash: tasks send only what is taken."""
+        part = min(1.0, UNLABELLED_MAX / max(n, 1))
+        taken = of if part >= 1 else of.where(F.col("h") < F.lit(int(-(1 << 63) + part * ((1 << 64) - 1))))
+        return sorted(r.v for r in taken.select("v").limit(UNLABELLED_MAX).collect())
+
+    made, unlabelled = sample(values.where(marks), n_marked), sample(values, total)
     m = fit(trusted, [v for v in made if all_placeholders(v)], unlabelled + made)
     hits = values.where("v rlike 'undefined|null|NaN'").select(F.regexp_extract_all("v", F.lit(_MISSING_ONE.pattern), F.lit(0)).alias("all"), "h")
     each = hits.select(F.explode("all").alias("one")).groupBy("one").count().where("count >= 3").orderBy(F.desc("count"), "one").limit(TRUSTED_MAX)
