@@ -48,7 +48,7 @@ OWN_NAMES = {
 
 #: A word, or what ends a sentence: a stop followed by a blank or a closing mark, an East Asian stop, a line end.
 _TOKEN = re.compile("[^\\W\\d_]+|[.!?…]+(?=[\\s\"”’»)\\]]|$)|[。！？\\n\\r]")
-_INVISIBLE = re.compile("[­​-‏⁠﻿]")
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 _WIDE = re.compile("[぀-ヿ㐀-鿿ｦ-ﾟ]")
 
 
@@ -70,7 +70,9 @@ def grams(word: str) -> list[str]:
 
 def tokens(text: str) -> list[str]:
     if not text.isascii():
-        text = _INVISIBLE.sub("", text)
+        for c in _INVISIBLE:
+            if c in text:
+                text = text.replace(c, "")
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
     return _TOKEN.findall(text)
@@ -167,11 +169,12 @@ class Classifier:
 
     def _forget(self) -> None:
         self.word_id = _Words(self._add)
-        self.word_grams: list[np.ndarray] = []
+        self.word_grams: list[bytes] = []  # packed int32: joining bytes is much quicker than joining arrays
         self.sums = np.zeros((1024, len(self.langs)), np.float32)
         self.sizes = np.zeros(1024, np.float32)
         self.letters = np.zeros(1024, np.int32)
         self.name = np.zeros(1024, bool)
+        self.settled = 0
 
     def _add(self, w: str) -> int:
         i = len(self.word_grams)
@@ -183,22 +186,34 @@ class Classifier:
         w = w.lower()
         every = grams(w)
         gram_id = self.gram_id
-        ids = np.array([gram_id[g] for g in every if g in gram_id], np.int32)
-        self.word_grams.append(ids)
-        self.sums[i] = self.ranks[ids].sum(0, dtype=np.int32) / PROFILE + (len(every) - len(ids))
+        self.word_grams.append(np.array([gram_id[g] for g in every if g in gram_id], np.int32).tobytes())
         self.sizes[i] = len(every)
         self.letters[i] = len(w) * (3 if _WIDE.search(w) else 1)
         return i
 
+    def _settle(self) -> None:
+        """Sums of the words seen since the last time, all at once."""
+        new = self.word_grams[self.settled :]
+        if not new:
+            return
+        lengths = np.array([len(g) // 4 for g in new])
+        running = np.zeros((int(lengths.sum()) + 1, len(self.langs)), np.int64)
+        np.cumsum(self.ranks[np.frombuffer(b"".join(new), np.int32)], 0, out=running[1:])
+        to = np.cumsum(lengths)
+        rows = slice(self.settled, len(self.word_grams))
+        self.sums[rows] = (running[to] - running[to - lengths]) / PROFILE + (self.sizes[rows] - lengths)[:, None]
+        self.settled = len(self.word_grams)
+
     def out_of_place(self, words: np.ndarray) -> np.ndarray:
         """Distance of a text, given by its words, to each profile: 0 the same order, 1 nothing in common."""
         known = self.word_grams
         # what is in no profile is as far from each and is not counted
-        total = np.bincount(np.concatenate([known[i] for i in words.tolist()]), minlength=1)
-        some = np.flatnonzero(total)
-        if not len(some):
+        every = np.frombuffer(b"".join([known[i] for i in words.tolist()]), np.int32)
+        if not len(every):
             return np.ones(len(self.langs))
-        counts = -total[some]
+        every = np.sort(every)
+        starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        some, counts = every[starts], -np.diff(starts, append=len(every))
         if len(some) > 2 * TOP:  # the TOP first are among those no rarer than the TOP-th
             least = np.partition(counts, TOP - 1)[TOP - 1]
             near = np.flatnonzero(counts <= least)
@@ -216,6 +231,7 @@ class Classifier:
         if len(self.word_grams) > WORDS_KEPT:
             self._forget()
         ids = [i for i in map(self.word_id.__getitem__, tokens(text)) if i >= 0]
+        self._settle()
         return self.langs[int(self.sums[ids].sum(0).argmin())] if ids and self.langs else None
 
     def passages(self, text: str) -> list[tuple[int, int, str, float]]:
@@ -234,6 +250,7 @@ class Classifier:
                 flat += map(number, tokens(text))
             flat.append(-1)  # no sentence goes on in the next text
             ends_at.append(len(flat))
+        self._settle()
         toks = np.array(flat, np.int64)
         is_word = toks >= 0
         ids = toks[is_word]
