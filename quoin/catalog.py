@@ -44,6 +44,32 @@ EXCLUDED_PATHS = r"/(?:speciali|shop|sponsored-content|advertorial)/"
 #: Publication names that search engines append to titles: fixed values.
 PUBLICATIONS = r"ArchDaily|Dezeen|Archinect|Metropolis(?: Magazine)?|Architectural Record|designboom|The Architect[’']s Newspaper|Domus(?: Web)?"
 
+#: Patterns of the landed formats: fixed values.
+FEED_ITEM = r"(?i)<(?:item|entry)[\s>]"
+SEARCH_ITEM = r"(?i)<item[\s>][\s\S]*?</item>"
+MEDIA = r"""(?i)<media:(?:content|thumbnail)\b[^>]*?\burl=["'][^"']+["'][^>]*>"""
+ENCLOSURE = r"""(?i)<enclosure\b[^>]*?\burl=["'][^"']+["'][^>]*>"""
+URL_ATTRIBUTE = r"""(?i)\burl=["']([^"']+)["']"""
+MEDIUM_NOT_IMAGE = r"""(?i)medium=["'](?:video|audio)["']|type=["'](?:video|audio)"""
+TYPE_NOT_IMAGE = r"""(?i)type=["'](?:video|audio)"""
+IMG_SRC = r"""(?i)<img\b[^>]*?\bsrc=["']([^"']+)["']"""
+ALTERNATE_LINK = r"""(?i)<link\b[^>]*rel=["']alternate["'][^>]*href=["']([^"']+)["']"""
+ANY_LINK = r"""(?i)<link\b[^>]*href=["']([^"']+)["']"""
+PREVIEW_NAME = r"""(?:property|name)=["'](?:og:image|twitter:image)["']"""
+CONTENT_ATTRIBUTE = r"""content=["']([^"']+)["']"""
+SECTION_BLOCK = r"""(?i)<article\b[^>]*class="[^"]*c-article-prev[\s\S]*?</article>"""
+SECTION_LINK = r"""(?i)href="(/en/[a-z0-9\-/]+/(20\d\d)/(\d\d)/(\d\d)/[^"]+\.html)\""""
+SECTION_TITLE = r"(?i)inject-title[^>]*>([\s\S]*?)</span>"
+SECTION_TEXT = r"(?i)<p[^>]*inject-desc[^>]*>([\s\S]*?)</p>"
+LAZY_SRC, PLAIN_SRC = r"""(?i)<img[^>]*data-src="([^"]+)\"""", r"""(?i)<img[^>]*src="([^"]+)\""""
+SMALL_PHOTO, MEDIUM_PHOTO = ".foto.rsmall.", ".foto.rmedium."
+SEARCH_TARGET = r"[?&]url=([^&]+)"
+PICTURE_SIZE = "&w=900&h=600&c=14"
+DROPPED_ELEMENTS = r"script|style|figure|figcaption|iframe|h[1-6]"
+FEED_CREDIT = r"(?i)The post [^\n\r]{0,220}? appeared first on [^\n\r]*\z"
+MORE_PHRASES = "Read more|Read the full story|Continue reading|Continued here"
+SENTENCE = r"[^.!?…]+[.!?…]+[\"”’)]*\s*|[^.!?…]+$"
+
 
 def source_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SOURCES, SOURCE_SCHEMA)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quoin import catalog as C
 from quoin.functions.predicates import good_image
 from quoin.functions.text import absolute_url, as_html, clean_excerpt, collapse, deep_decode, let, trim, un_cdata, uri_decode, words_in
 
@@ -26,13 +27,13 @@ def feed_chunks(xml: Column, most: int) -> Column:
 
 
 def is_feed(xml: Column) -> Column:
-    return F.coalesce(xml.rlike(r"(?i)<(?:item|entry)[\s>]"), F.lit(False))
+    return F.coalesce(xml.rlike(C.FEED_ITEM), F.lit(False))
 
 
 def item_link(item: Column) -> Column:
     """The link element's text if it is an address, else the alternate link's, else the first link's href; '' without."""
     text = trim(deep_decode(tag(item, "link")))
-    other = first(item, r"""(?i)<link\b[^>]*rel=["']alternate["'][^>]*href=["']([^"']+)["']""", r"""(?i)<link\b[^>]*href=["']([^"']+)["']""")
+    other = first(item, C.ALTERNATE_LINK, C.ANY_LINK)
     return let(text, lambda t: F.when(t.rlike(r"^https?://"), t).otherwise(F.coalesce(deep_decode(other), F.lit(""))))
 
 
@@ -48,11 +49,10 @@ def item_bodies(item: Column) -> Column:
 
 def image_candidates(item: Column, html: Column) -> Column:
     """Media elements that are no video or audio, the first enclosure if it is none, then every image of the body."""
-    url = r"""(?i)\burl=["']([^"']+)["']"""
-    media = _urls(item, r"""(?i)<media:(?:content|thumbnail)\b[^>]*?\burl=["'][^"']+["'][^>]*>""", url, r"""(?i)medium=["'](?:video|audio)["']|type=["'](?:video|audio)""")
-    enclosure = F.filter(F.slice(F.regexp_extract_all(item, F.lit(r"""(?i)<enclosure\b[^>]*?\burl=["'][^"']+["'][^>]*>"""), F.lit(0)), 1, 1), lambda m: ~m.rlike(r"""(?i)type=["'](?:video|audio)"""))
-    inline = F.regexp_extract_all(html, F.lit(r"""(?i)<img\b[^>]*?\bsrc=["']([^"']+)["']"""), F.lit(1))
-    return F.concat(media, F.transform(enclosure, lambda m: F.regexp_extract(m, url, 1)), inline)
+    media = _urls(item, C.MEDIA, C.URL_ATTRIBUTE, C.MEDIUM_NOT_IMAGE)
+    enclosure = F.filter(F.slice(F.regexp_extract_all(item, F.lit(C.ENCLOSURE), F.lit(0)), 1, 1), lambda m: ~m.rlike(C.TYPE_NOT_IMAGE))
+    inline = F.regexp_extract_all(html, F.lit(C.IMG_SRC), F.lit(1))
+    return F.concat(media, F.transform(enclosure, lambda m: F.regexp_extract(m, C.URL_ATTRIBUTE, 1)), inline)
 
 
 def item_image(item: Column, html: Column) -> Column:
@@ -78,33 +78,29 @@ def item_date(item: Column) -> Column:
 
 def preview_image(html: Column) -> Column:
     """The preview image a page names in its head, attributes in either order; null without."""
-    name, content = r"""(?:property|name)=["'](?:og:image|twitter:image)["']""", r"""content=["']([^"']+)["']"""
-    return first(html, rf"(?i)<meta[^>]+{name}[^>]+{content}", rf"(?i)<meta[^>]+{content}[^>]+{name}")
+    return first(html, rf"(?i)<meta[^>]+{C.PREVIEW_NAME}[^>]+{C.CONTENT_ATTRIBUTE}", rf"(?i)<meta[^>]+{C.CONTENT_ATTRIBUTE}[^>]+{C.PREVIEW_NAME}")
 
 
 def section_blocks(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"""(?i)<article\b[^>]*class="[^"]*c-article-prev[\s\S]*?</article>"""), F.lit(0))
-
-
-SECTION_LINK = r"""(?i)href="(/en/[a-z0-9\-/]+/(20\d\d)/(\d\d)/(\d\d)/[^"]+\.html)\""""
+    return F.regexp_extract_all(html, F.lit(C.SECTION_BLOCK), F.lit(0))
 
 
 def section_image(block: Column, base: str) -> Column:
-    src = first(block, r"""(?i)<img[^>]*data-src="([^"]+)\"""", r"""(?i)<img[^>]*src="([^"]+)\"""")
-    at = F.instr(src, ".foto.rsmall.")
-    bigger = F.when(at > 0, F.concat(F.substring(src, F.lit(1), at - 1), F.lit(".foto.rmedium."), F.substring(src, at + 13, F.lit(1 << 30)))).otherwise(src)
+    src = first(block, C.LAZY_SRC, C.PLAIN_SRC)
+    at = F.instr(src, C.SMALL_PHOTO)
+    bigger = F.when(at > 0, F.concat(F.substring(src, F.lit(1), at - 1), F.lit(C.MEDIUM_PHOTO), F.substring(src, at + len(C.SMALL_PHOTO), F.lit(1 << 30)))).otherwise(src)
     return absolute_url(bigger, base)
 
 
 def search_link(item: Column, domain: Column) -> Column:
     """The publisher's address within a search hit's; '' if malformed or of another domain."""
-    real = uri_decode(F.regexp_extract(deep_decode(tag(item, "link")), r"[?&]url=([^&]+)", 1))
+    real = uri_decode(F.regexp_extract(deep_decode(tag(item, "link")), C.SEARCH_TARGET, 1))
     return let(F.coalesce(real, F.lit("")), lambda u: F.when(F.contains(u, domain), u).otherwise(""))
 
 
 def search_image(item: Column) -> Column:
     """The hit's picture in the size asked for; null without."""
-    return F.concat(absolute_url(F.nullif(deep_decode(tag(item, "News:Image")), F.lit(""))), F.lit("&w=900&h=600&c=14"))
+    return F.concat(absolute_url(F.nullif(deep_decode(tag(item, "News:Image")), F.lit(""))), F.lit(C.PICTURE_SIZE))
 
 
 def preview_title(html: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quoin.catalog import DEFAULT_COLOR, ENTITIES, PUBLICATIONS
+from quoin.catalog import DEFAULT_COLOR, DROPPED_ELEMENTS, ENTITIES, FEED_CREDIT, MORE_PHRASES, PUBLICATIONS, SENTENCE
 
 WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -63,7 +63,7 @@ def un_cdata(c: Column) -> Column:
 def to_text(html: Column) -> Column:
     """HTML to text: references first, so that encoded markup goes too. Null gives ''."""
     s = let(un_cdata(F.coalesce(html, F.lit(""))), deep_decode)
-    s = F.regexp_replace(s, r"(?i)<(script|style|figure|figcaption|iframe|h[1-6])(?![A-Za-z0-9_])[\s\S]*?</\1>", " ")
+    s = F.regexp_replace(s, rf"(?i)<({DROPPED_ELEMENTS})(?![A-Za-z0-9_])[\s\S]*?</\1>", " ")
     s = F.regexp_replace(F.regexp_replace(s, r"<[^>]+>", " "), WS + "+", " ")
     s = F.regexp_replace(s, WS + r"+([,.;:!?…])", "$1")
     return trim(F.regexp_replace(s, rf"([(“‘]){WS}+", "$1"))
@@ -72,8 +72,8 @@ def to_text(html: Column) -> Column:
 def clean_excerpt(html: Column) -> Column:
     """Text without the feed's own closing phrases, cut at 700 characters on a word."""
     s = to_text(html)
-    s = F.regexp_replace(s, r"(?i)The post [^\n\r]{0,220}? appeared first on [^\n\r]*\z", "")
-    s = F.regexp_replace(s, rf"(?i){WS}*(?:Read more|Read the full story|Continue reading|Continued here)(?![A-Za-z0-9_])[^\n\r]*\z", "")
+    s = F.regexp_replace(s, FEED_CREDIT, "")
+    s = F.regexp_replace(s, rf"(?i){WS}*(?:{MORE_PHRASES})(?![A-Za-z0-9_])[^\n\r]*\z", "")
     s = trim(F.regexp_replace(s, rf"{WS}*\[(?:…|\.\.\.|&hellip;)\]{WS}*\z", "…"))
     return let(s, lambda t: F.when(F.length(t) > 700, F.concat(F.regexp_replace(F.left(t, F.lit(700)), rf"{WS}+[^\t\n\x0B\f\r \x{{00A0}}]*\z", ""), F.lit("…"))).otherwise(t))
 
@@ -83,9 +83,6 @@ def words_in(c: Column) -> Column:
     return F.when(c == "", 0).otherwise(F.size(F.split(c, " ", -1)))
 
 
-SENTENCE = r"[^.!?…]+[.!?…]+[\"”’)]*\s*|[^.!?…]+$"
-
-
 def make_short(text: Column, limit: int = 60, least: int = 18) -> Column:
     """The text's first whole sentences within ``limit`` words, if they come to ``least``; else its first ``limit`` words."""
 

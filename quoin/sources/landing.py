@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoin import catalog as C
 from quoin.catalog import PER_FEED
 from quoin.functions import dates, extract
 from quoin.functions.predicates import allowed_path, good_image
@@ -60,20 +61,20 @@ def section_pages(landing: DataFrame, base: str = "https://www.domusweb.it") ->
     """Section pages: each address once, by its first place over all pages; dated by the address, in the page's order."""
     blocks = _of_kind(landing, "domus").select("source_id", "step_no", "url_no", F.posexplode(extract.section_blocks(F.col("body"))).alias("at", "b"))
     b = F.col("b")
-    hit = blocks.withColumn("href", F.regexp_extract(b, extract.SECTION_LINK, 1)).where((F.col("href") != "") & allowed_path(F.col("href")))
+    hit = blocks.withColumn("href", F.regexp_extract(b, C.SECTION_LINK, 1)).where((F.col("href") != "") & allowed_path(F.col("href")))
     once = hit.withColumn("n", F.row_number().over(Window.partitionBy("source_id", "step_no", "href").orderBy("url_no", "at"))).where("n = 1")
     out = once.withColumn("pos", F.row_number().over(Window.partitionBy("source_id", "step_no").orderBy("url_no", "at")) - 1)
-    date = [F.regexp_extract(b, extract.SECTION_LINK, i).cast("int") for i in (2, 3, 4)]
+    date = [F.regexp_extract(b, C.SECTION_LINK, i).cast("int") for i in (2, 3, 4)]
     return out.select(
-        "source_id", "step_no", "pos", to_text(F.regexp_extract(b, r"(?i)inject-title[^>]*>([\s\S]*?)</span>", 1)).alias("title"), F.concat(F.lit(base), "href").alias("link"),
-        F.regexp_extract(b, r"(?i)<p[^>]*inject-desc[^>]*>([\s\S]*?)</p>", 1).alias("body_html"), extract.section_image(b, base).alias("image"), dates.path_ms(*date, F.col("pos")).alias("ms"), F.lit("page").alias("via"),
+        "source_id", "step_no", "pos", to_text(F.regexp_extract(b, C.SECTION_TITLE, 1)).alias("title"), F.concat(F.lit(base), "href").alias("link"),
+        F.regexp_extract(b, C.SECTION_TEXT, 1).alias("body_html"), extract.section_image(b, base).alias("image"), dates.path_ms(*date, F.col("pos")).alias("ms"), F.lit("page").alias("via"),
     )
 
 
 def search_hits(landing: DataFrame, sources: DataFrame) -> DataFrame:
     """Hits of a news search: the publisher's own address is taken out of the hit's."""
     items = _of_kind(landing, "bing").where(F.col("body").rlike(r"(?i)<item[\s>]")).join(sources.select(F.col("id").alias("source_id"), "domain"), "source_id")
-    each = items.select("source_id", "step_no", "domain", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?i)<item[\s>][\s\S]*?</item>"), F.lit(0))).alias("pos", "item"))
+    each = items.select("source_id", "step_no", "domain", F.posexplode(F.regexp_extract_all("body", F.lit(C.SEARCH_ITEM), F.lit(0))).alias("pos", "item"))
     item = F.col("item")
     return each.select(
         "source_id", "step_no", "pos", to_text(extract.tag(item, "title")).alias("title"), extract.search_link(item, F.col("domain")).alias("link"), decode_entities(extract.tag(item, "description")).alias("body_html"),
