@@ -1,7 +1,7 @@
 """Template residue, filler, error pages and script notices in place of text or within it.
 
 Positive-unlabelled naive Bayes. Trusted records come from the corpus itself: titles that recur word for word at several
-publishers under several addresses (a title names its story, so what many share is none), values made of placeholders only,
+publishers (a title names its story, so what many share is none), values made of placeholders only,
 and the standard's own reason phrases. Everything else is unlabelled. Expectation-maximisation fits token log-odds on a
 bounded sample: passages like the trusted ones lose their weight among the negatives and gain it among the positives. A value
 is scored by passages: placeholder spans, sentences and parts between bars and dashes, and the beginnings and ends of
@@ -258,7 +258,7 @@ def residue(m: Model, text: str | None) -> bool:
     return False
 
 
-def learn(rows: DataFrame, source_col: str = "sourceId", title_col: str = "title", link_col: str = "link", fields: tuple[str, ...] = ("title", "excerpt"), id_col: str = "row_id") -> Model:
+def learn(rows: DataFrame, source_col: str = "sourceId", title_col: str = "title", fields: tuple[str, ...] = ("title", "excerpt"), id_col: str = "row_id") -> Model:
     """Trusted records counted over all rows, then the model fitted on a bounded sample."""
     ship(rows.sparkSession)
     col = lambda c: F.col(f"`{c}`")
