@@ -28,6 +28,8 @@ TRUSTED_MAX, UNLABELLED_MAX = 5_000, 20_000
 #: A phrase is trusted to be no text of its own with so many publishers, two of which at least have it for a title.
 SPREAD = 4
 ROUNDS = 6
+#: A setting of a printed missing value is an idiom with this share of the word's distinct values, and of its sources, and so many at least.
+IDIOM_SHARE, IDIOM_LEAST = 0.25, 3
 #: Rates below this tell nothing.
 FLOOR = 2e-4
 #: Log-odds of a passage and share of its words that must speak for residue.
@@ -221,8 +223,7 @@ def residue(m: Model, text: str | None) -> bool:
     if _MAY_MISS.search(text):
         if _MISSING_PAIR.search(text):
             return True
-        one = _MISSING_ONE.search(text)
-        if one and setting(*one.groups()) not in m.idioms or _NONE.search(text):
+        if any(setting(*one.groups()) not in m.idioms for one in _MISSING_ONE.finditer(text)) or _NONE.search(text):
             return True
     for kind, content, a, b in spans(text) if _MAY_SPAN.search(text) else ():
         if kind in _SURE_KINDS and kind != "[[" or kind == "[[" and re.search(r"\w", content):
@@ -258,6 +259,29 @@ def residue(m: Model, text: str | None) -> bool:
     return False
 
 
+def idioms(rows: DataFrame, source_col: str, fields: tuple[str, ...]) -> set[tuple[str, str, str]]:
+    """Settings in which a word that is also a printed missing value belongs.
+
+    A setting counts once a distinct value and once a source, so copies and a hot source add nothing, and is measured against all
+    distinct values and sources of its word. What fills a gap of a template recurs as well, but there other words stand in its place:
+    in an idiom's they hardly do. At most 1 / IDIOM_SHARE settings a word pass, so few are collected.
+    """
+    values = rows.select(F.explode(F.array(*[F.col(f"`{f}`") for f in fields])).alias("v"), F.col(f"`{source_col}`").alias("s"))
+    each = values.where("v rlike 'undefined|null|NaN'").groupBy("v", "s").agg(F.lit(1).alias("one"))
+    found = F.explode(F.transform(F.regexp_extract_all("v", F.lit(_MISSING_ONE.pattern), F.lit(0)), lambda x: F.struct(*[g.alias(n) for n, g in (("word", F.regexp_extract(x, _MISSING_ONE.pattern, 2)), ("before", F.lower(F.regexp_extract(x, _MISSING_ONE.pattern, 1))), ("after", F.lower(F.regexp_extract(x, _MISSING_ONE.pattern, 3))))])))
+    seen = written(each.select("v", "s", found.alias("x")).select("v", "s", "x.*").distinct(), "settings")
+    spread = lambda by: seen.groupBy(*by).agg(F.count_distinct("v").alias("n"), F.count_distinct("s").alias("n_s"))
+    of_word = spread(["word"]).withColumnsRenamed({"n": "all", "n_s": "all_s"})
+    least = lambda n, total: F.col(n) >= F.greatest(F.lit(IDIOM_LEAST), F.col(total) * IDIOM_SHARE)
+    often = spread(["word", "before", "after"]).join(F.broadcast(of_word), "word").where(least("n", "all") & least("n_s", "all_s"))
+    got = {(r.before, r.word, r.after): r.n for r in often.collect() if r.before.isalpha() and r.after.isalpha()}
+    if not got:
+        return set()
+    gap = {k: F.regexp_extract("v", rf"(?i)(?<!\S){k[0]}\s+(?!{k[1]}\s)\S+(?:\s+\S+)?\s+{k[2]}(?!\w)", 0) != "" for k in got}
+    other = values.where("v is not null").agg(*[F.count_distinct(F.when(is_other, F.xxhash64("v"))).alias(f"n{i}") for i, is_other in enumerate(gap.values())]).first()
+    return {k for (k, n), others in zip(got.items(), other) if others < n}
+
+
 def learn(rows: DataFrame, source_col: str = "sourceId", title_col: str = "title", fields: tuple[str, ...] = ("title", "excerpt"), id_col: str = "row_id") -> Model:
     """Trusted records counted over all rows, then the model fitted on a bounded sample."""
     ship(rows.sparkSession)
@@ -280,9 +304,7 @@ def learn(rows: DataFrame, source_col: str = "sourceId", title_col: str = "title
 
     made, unlabelled = sample(values.where(marks), n_marked), sample(values, total)
     m = fit(trusted, [v for v in made if all_placeholders(v)], unlabelled + made)
-    hits = values.where("v rlike 'undefined|null|NaN'").select(F.regexp_extract_all("v", F.lit(_MISSING_ONE.pattern), F.lit(0)).alias("all"), "h")
-    each = hits.select(F.explode("all").alias("one")).groupBy("one").count().where("count >= 3").orderBy(F.desc("count"), "one").limit(TRUSTED_MAX)
-    m.idioms = {setting(*g.groups()) for r in each.collect() if (g := _MISSING_ONE.search(r.one)) and (g[1] or "").isalpha() and (g[3] or "").isalpha()}
+    m.idioms = idioms(rows, source_col, fields)
     return m
 
 

@@ -1,4 +1,4 @@
-from quoin.llm.residue import Model, all_placeholders, fit, residue, residue_values, span_features, spans, without_residue, words
+from quoin.llm.residue import Model, all_placeholders, fit, idioms, residue, residue_values, span_features, spans, without_residue, words
 
 GOOD = ["The museum opens a new wing in the spring.", "Error as method, an essay by Ana Bel", "A house with 404 windows", "The installation prints the words “404 Not Found” on every missing brick.", "The JavaScript Garden: a facade in code",
         "Null and void: essays on empty plots", "Nothing undefined remains in the plan", "They call the plots {placeholders} for a school", "The show [untitled], brackets included", "Who is denied access to the riverfront?",
@@ -41,3 +41,16 @@ def test_table(spark):
     assert residue_values(df.limit(0)).count() == 0
     kept = {r.row_id for r in without_residue(df).collect()}
     assert 301 in kept and 0 in kept and not kept & {100, 200, 300}
+
+
+def test_idioms_by_spread(spark):
+    story = lambda i, t: (i, f"s{i % 10}", t, None)
+    rows = [story(i, f"Nothing undefined remains in plan {chr(97 + i)}") for i in range(10)]
+    rows += [story(20 + i, f"A {w} tower by null on the hill") for i, w in enumerate(("tall", "low", "red"))]  # one template at three publishers
+    rows += [story(30 + i, f"A {w} tower by Ana on the hill") for i, w in enumerate(("wide", "thin", "grey", "old"))]
+    rows += [story(40 + i, "A quay of NaN meters") for i in range(9)]  # copies of one story
+    rows += [(60 + i, "s1", f"{w} halls with null seats", None) for i, w in enumerate(("Two", "Six", "Ten"))]  # one hot source
+    df = spark.createDataFrame(rows, "row_id long, sourceId string, title string, excerpt string")
+    assert idioms(df, "sourceId", ("title", "excerpt")) == {("nothing", "undefined", "remains")}
+    m = Model(idioms={("nothing", "undefined", "remains")})
+    assert not residue(m, "Nothing undefined remains in the plan") and residue(m, "Nothing undefined remains in the plan. A hall by undefined on the hill")
