@@ -17,16 +17,19 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.runtime import ship, written
+from quoin.llm.mojibake import _bit, _sieve
+from quoin.runtime import scratch_path, ship, written
 
-#: Bounds of the fitting sample: trusted phrases by their spread, unlabelled values in the order of a hash.
+#: Bounds of the fitting sample: trusted phrases by their spread, unlabelled values in the order of a hash. Matching has all phrases.
 TRUSTED_MAX, UNLABELLED_MAX = 5_000, 20_000
-#: A phrase is trusted to be no text of its own with so many publishers, two of which at least have it for a title.
-SPREAD = 4
+#: A phrase is trusted to be no text of its own with this share of all publishers, but so many at least, two of which at least have it
+#: for a title; with the smaller share if some publisher has it for no title, as a title of a story stands at its publishers as one.
+SPREAD, SPREAD_SHARE, MIXED_SHARE = 4, 0.001, 0.0001
 ROUNDS = 6
 #: A setting of a printed missing value is an idiom with this share of the word's distinct values, and of its sources, and so many at least.
 IDIOM_SHARE, IDIOM_LEAST = 0.25, 3
@@ -140,6 +143,14 @@ class Model:
     odds: dict[str, float] = field(default_factory=dict)
     phrases: set[str] = field(default_factory=set)
     idioms: set[tuple[str, str, str]] = field(default_factory=set)  # settings of these words that recur: they belong there
+    sieve: np.ndarray | None = None  # of all trusted phrases, where they are more than the fitting sample holds
+    path: str | None = None  # the table of these phrases
+    asked: set[str] = field(default_factory=set)  # runs of words that passed the sieve
+
+
+def _telling(w: list[str]) -> bool:
+    """Whether a phrase of these words may be matched as it is."""
+    return len(w) >= 2 or bool(w) and bool(_MISSING.fullmatch(w[0]))
 
 
 def _odds(pos: Counter, n_pos: float, neg: Counter, n_neg: float) -> dict[str, float]:
@@ -150,7 +161,7 @@ def fit(trusted: list[tuple[str, int]], placeholders: list[str], unlabelled: lis
     """Naive Bayes from trusted phrases (with weights), placeholder values and unlabelled values, by expectation-maximisation."""
     m = Model()
     known = [(words(t), min(n, 5)) for t, n in trusted] + [(words(t), 3) for t in REASONS]
-    m.phrases = {" ".join(w) for w, _ in known if len(w) >= 2 or w and _MISSING.fullmatch(w[0])}
+    m.phrases = {" ".join(w) for w, _ in known if _telling(w)}
     sure_pos: Counter[str] = Counter()
     n_sure = 0.0
     for w, k in known:
@@ -199,8 +210,11 @@ def _speaks(m: Model, toks: list[str], whole: bool) -> bool:
     """Whether a run of words is residue: a trusted phrase, or by its odds and for the greater part of its words."""
     if not toks:
         return False
-    if " ".join(toks) in m.phrases:
+    run = " ".join(toks)
+    if run in m.phrases:
         return True
+    if m.sieve is not None and m.sieve[(bit := _bit(run)) >> 5] >> (bit & 31) & 1:
+        m.asked.add(run)
     got = [m.odds.get("w:" + t, 0.0) for t in toks]
     strong = sum(g > 1.0 for g in got)
     return sum(got) >= LEAST_ODDS + (0 if whole else 4) and strong >= max(2, LEAST_SHARE * len(toks)) and not any(g < -2.5 for g in got)
@@ -248,7 +262,7 @@ def residue(m: Model, text: str | None) -> bool:
         strong = [odds.get("w:" + t, 0.0) > 1.0 for t in toks]
         if _speaks(m, toks, True):
             return True
-        if len(toks) > 4 and (any(strong[:4]) or any(strong[-4:])):  # an error text glued to the beginning or the end
+        if len(toks) > 4 and (m.sieve is not None or any(strong[:4]) or any(strong[-4:])):  # an error text glued to the beginning or the end
             cut = p.split()
             for k in range(3, min(14, len(cut))):
                 for run, edge in ((cut[:k], cut[k]), (cut[-k:], cut[-k])):
@@ -259,6 +273,25 @@ def residue(m: Model, text: str | None) -> bool:
     return False
 
 
+def judged(m: Model, text: str | None) -> tuple[bool, str | None]:
+    """Whether a value is residue by the model alone; else the runs of words, one a line, that may be trusted phrases of the table."""
+    m.asked.clear()
+    if residue(m, text):
+        return True, None
+    return False, "\n".join(sorted(m.asked)) or None
+
+
+def trusted_asked(df: DataFrame, m: Model) -> DataFrame:
+    """(asked): those values of the column that hold a trusted phrase, joined with the whole table of phrases."""
+    each = df.where("asked is not null").select("asked").distinct().withColumn("phrase", F.explode(F.split("asked", "\n")))
+    return each.join(df.sparkSession.read.schema("phrase string").parquet(m.path), "phrase", "left_semi").select("asked").distinct()
+
+
+def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([" ".join(w) for t in b.column(0).to_pylist() if _telling(w := words(t))], pa.string())], names=["phrase"])
+
+
 def idioms(rows: DataFrame, source_col: str, fields: tuple[str, ...]) -> set[tuple[str, str, str]]:
     """Settings in which a word that is also a printed missing value belongs.
 
@@ -290,7 +323,10 @@ def learn(rows: DataFrame, source_col: str = "sourceId", title_col: str = "title
     stacked = rows.select(F.explode(F.array(*[F.struct(F.lit(f == title_col).alias("is_title"), col(f).alias("t")) for f in fields])).alias("x"), col(source_col).alias("s"))
     keyed = stacked.where("s is not null and length(x.t) <= 200").select(fold(F.col("x.t")).alias("key"), "x.is_title", "x.t", "s").where("key <> ''")
     once = keyed.groupBy("key", "s").agg(F.max("is_title").alias("is_title"), F.min("t").alias("t"))
-    spread = once.groupBy("key").agg(F.count("*").alias("spread"), F.count_if("is_title").alias("titles"), F.min("t").alias("t")).where((F.col("spread") >= SPREAD) & (F.col("titles") >= 2))
+    publishers = rows.select(col(source_col)).distinct().count()
+    spread = once.groupBy("key").agg(F.count("*").alias("spread"), F.count_if("is_title").alias("titles"), F.min("t").alias("t"))
+    share = F.when(F.col("spread") > F.col("titles"), MIXED_SHARE).otherwise(SPREAD_SHARE)
+    spread = written(spread.where((F.col("spread") >= F.greatest(F.lit(SPREAD), share * publishers)) & (F.col("titles") >= 2)), "spread")
     trusted = [(r.t, r.spread) for r in spread.orderBy(F.desc("spread"), "key").limit(TRUSTED_MAX).collect()]
     values = rows.select(F.explode(F.array(*[F.col(f"`{f}`") for f in fields])).alias("v"), F.xxhash64(F.col(f"`{id_col}`")).alias("h")).where("v is not null and trim(v) <> ''")
     marks = F.col("v").rlike(r"[{%\[<*#@_$]") & (F.length("v") <= 200)
@@ -305,6 +341,10 @@ def learn(rows: DataFrame, source_col: str = "sourceId", title_col: str = "title
     made, unlabelled = sample(values.where(marks), n_marked), sample(values, total)
     m = fit(trusted, [v for v in made if all_placeholders(v)], unlabelled + made)
     m.idioms = idioms(rows, source_col, fields)
+    if spread.count() > TRUSTED_MAX:
+        m.path = scratch_path(rows.sparkSession, "phrases")
+        spread.select("t").mapInArrow(_phrases, "phrase string").distinct().write.parquet(m.path)
+        m.sieve = _sieve(rows.sparkSession.read.schema("phrase string").parquet(m.path).withColumnRenamed("phrase", "piece"))
     return m
 
 
@@ -323,15 +363,22 @@ def residue_values(rows: DataFrame, id_col: str = "row_id", fields: tuple[str, .
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            at, names = [], []
+            at, names, asked = [], [], []
             for col, f in enumerate(fields, 1):
                 for i, text in enumerate(b.column(col).to_pylist()):
-                    if residue(model, text):
+                    sure, runs = judged(model, text)
+                    if sure or runs:
                         at.append(i)
                         names.append(f)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string())], names=["row_id", "field"])
-
-    return base.mapInArrow(run, f"row_id {kind}, field string").distinct()
+                        asked.append(runs)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(asked, pa.string())], names=["row_id", "field", "asked"])
+
+    found = base.mapInArrow(run, f"row_id {kind}, field string, asked string")
+    if m.sieve is None:
+        return found.select("row_id", "field").distinct()
+    found = written(found, "judged")
+    rest = found.join(trusted_asked(found, m), "asked", "left_semi")
+    return found.where("asked is null").select("row_id", "field").union(rest.select("row_id", "field")).distinct()
 
 
 def without_residue(rows: DataFrame, id_col: str = "row_id", fields: tuple[str, ...] = ("title", "excerpt")) -> DataFrame:

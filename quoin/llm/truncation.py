@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.llm.language import Classifier, Profiles, code_of, train
-from quoin.llm.residue import Model, learn, residue
+from quoin.llm.residue import Model, judged, learn, trusted_asked
 from quoin.runtime import ship, written
 
 #: Share of the closed values that may lie above a threshold.
@@ -157,7 +157,7 @@ def _tails(fields: tuple[str, ...], profiles: Profiles, shared):
         model: Model = shared.value
         c = Classifier(profiles)
         for b in batches:
-            at, out = [], [[] for _ in range(9)]
+            at, out = [], [[] for _ in range(10)]
             for j, f in enumerate(fields, 2):
                 texts = b.column(j).to_pylist()
                 for i, text in enumerate(texts):
@@ -165,14 +165,15 @@ def _tails(fields: tuple[str, ...], profiles: Profiles, shared):
                     if not got:
                         continue
                     state, long_, short_, comma = got
-                    if state != "closed" and residue(model, text):
+                    is_residue, asked = judged(model, text) if state != "closed" else (False, None)
+                    if is_residue:
                         continue
                     at.append(i)
-                    for x, v in zip(out, (f, c.nearest(text[-100:]), state, long_, short_, len(text.rstrip()), text.count(" ") + 1, comma, text.rstrip()[-48:])):
+                    for x, v in zip(out, (f, c.nearest(text[-100:]), state, long_, short_, len(text.rstrip()), text.count(" ") + 1, comma, text.rstrip()[-48:], asked)):
                         x.append(v)
             take = pa.array(at, pa.int64())
-            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *[pa.array(x, k) for x, k in zip(out, kinds)]], names=["row_id", "source", "field", "lang", "state", "long", "short", "length", "words", "comma", "tail"])
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *[pa.array(x, k) for x, k in zip(out, kinds)]], names=["row_id", "source", "field", "lang", "state", "long", "short", "length", "words", "comma", "tail", "asked"])
 
     return run
 
@@ -185,11 +186,16 @@ def scored(rows: DataFrame, docs: DataFrame, lang_codes: DataFrame, id_col: str
     label = code_of(F.col("lang"), codes) if codes else F.lit(None).cast("string")
     sample = docs.select(label.alias("code"), "text").where("code is not null and text is not null").limit(LANGUAGE_SAMPLE)
     profiles = train(sample, F.col("code"))
-    shared = spark.sparkContext.broadcast(learn(rows, id_col=id_col, source_col=source_col))
+    m = learn(rows, id_col=id_col, source_col=source_col)
+    shared = spark.sparkContext.broadcast(m)
     model = written(counts(rows, title, fields), "contexts")
     base = rows.select(F.col(f"`{id_col}`").alias("row_id"), F.col(f"`{source_col}`").alias("source"), *[F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(fields)])
     kind, kind2 = base.schema["row_id"].dataType.simpleString(), base.schema["source"].dataType.simpleString()
-    tails = written(base.mapInArrow(_tails(fields, profiles, shared), f"row_id {kind}, source {kind2}, field string, lang string, state string, long string, short string, length int, words int, comma int, tail string"), "tails")
+    tails = base.mapInArrow(_tails(fields, profiles, shared), f"row_id {kind}, source {kind2}, field string, lang string, state string, long string, short string, length int, words int, comma int, tail string, asked string")
+    if m.sieve is not None:
+        tails = written(tails, "judged")
+        tails = tails.join(trusted_asked(tails, m), "asked", "left_anti")
+    tails = written(tails.drop("asked"), "tails")
 
     # open values end somewhere too: each different ending counts once
     open_ = tails.where("state = 'open'").select("tail", "long", "short").distinct()

@@ -1,4 +1,5 @@
-from quoin.llm.residue import Model, all_placeholders, fit, idioms, residue, residue_values, span_features, spans, without_residue, words
+from quoin.llm import residue as residue_module
+from quoin.llm.residue import Model, all_placeholders, fit, idioms, learn, residue, residue_values, span_features, spans, without_residue, words
 
 GOOD = ["The museum opens a new wing in the spring.", "Error as method, an essay by Ana Bel", "A house with 404 windows", "The installation prints the words “404 Not Found” on every missing brick.", "The JavaScript Garden: a facade in code",
         "Null and void: essays on empty plots", "Nothing undefined remains in the plan", "They call the plots {placeholders} for a school", "The show [untitled], brackets included", "Who is denied access to the riverfront?",
@@ -54,3 +55,22 @@ def test_idioms_by_spread(spark):
     assert idioms(df, "sourceId", ("title", "excerpt")) == {("nothing", "undefined", "remains")}
     m = Model(idioms={("nothing", "undefined", "remains")})
     assert not residue(m, "Nothing undefined remains in the plan") and residue(m, "Nothing undefined remains in the plan. A hall by undefined on the hill")
+
+
+def test_phrases_beyond_the_fitting_sample(spark, monkeypatch):
+    phrases = ["Zet uw tekst hier neer", "Qui va il corpo", "Veld nog leeg gelaten", "Brak opisu wpisu"]
+    rows = [(100 * k + i, f"s{i}", p, p if i % 2 else None) for k, p in enumerate(phrases) for i in range(6)]
+    rows += [(1000, "s9", "A fine hall", f"{phrases[3]} The hall opens in the spring of next year"), (1001, "s9", "The hall opens", None)]
+    df = spark.createDataFrame(rows, "row_id long, sourceId string, title string, excerpt string")
+    want = {(r[0], f) for r in rows[:-2] for f, v in zip(("title", "excerpt"), r[2:]) if v} | {(1000, "excerpt")}
+    monkeypatch.setattr(residue_module, "TRUSTED_MAX", 1)
+    assert set(map(tuple, residue_values(df).collect())) == want
+
+
+def test_spread_is_a_share_of_the_sources(spark):
+    rows = [(i, f"s{i}", f"Hall {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i // 676 * 'x'} opens", None) for i in range(8000)]
+    rows += [(9000 + i, f"s{i}", "Studio opens a workshop in Orrin", None) for i in range(5)]
+    rows += [(9100 + i, f"s{i}", "Zet uw tekst hier neer", None) for i in range(8)]
+    rows += [(9200 + i, f"s{i}", *(("Qui va il corpo", None) if i % 2 else (None, "Qui va il corpo"))) for i in range(5)]
+    m = learn(spark.createDataFrame(rows, "row_id long, sourceId string, title string, excerpt string"))
+    assert {"zet uw tekst hier neer", "qui va il corpo"} <= m.phrases and "studio opens a workshop in orrin" not in m.phrases
