@@ -39,6 +39,8 @@ LOST = ("cp1252", "cp1250", "cp1251", "koi8-r", "cp932", "mac_roman")
 #: UTF-8 read wrongly, written as UTF-8 again, and so on.
 TWICE = (("cp1252", "cp1252"), ("latin-1", "latin-1"), ("cp1252", "latin-1"), ("latin-1", "cp1252"), ("cp1250", "cp1250"), ("cp1251", "cp1251"), ("mac_roman", "mac_roman"), ("cp1252", "cp1252", "cp1252"), ("latin-1", "latin-1", "latin-1"))
 
+#: Share of a value's foreign words that one chain must make clean where the corpus can't tell.
+OWN_SHARE = 0.8
 #: Size of the sieve that drops garbled forms which occur nowhere: 4 MB, however large the corpus. It only saves work.
 SIEVE_BITS = 1 << 25
 
@@ -93,14 +95,21 @@ def _variants(g: str) -> Iterator[str]:
 
 def garbled_forms(word: str) -> dict[str, tuple[int, bool]]:
     """Every garbled form of a word: its number of steps, and whether it took a one-byte chain."""
-    out: dict[str, tuple[int, bool]] = {}
+    return {f: v[:2] for f, v in _forms(word).items()}
 
-    def put(form: str, steps: int, one_byte: bool) -> None:
+
+def _forms(word: str) -> dict[str, tuple[int, bool, int]]:
+    """Garbled forms as above, with the set of one-byte chains that lead to each, as bits."""
+    out: dict[str, tuple[int, bool, int]] = {}
+
+    def put(form: str, steps: int, one_byte: bool, chain: int = 0) -> None:
         if form.casefold() == same:
             return  # this chain leaves the word as it is
         for f in _variants(form):
             if len(f) > 1 and f.casefold() != same and (not f.isascii() or "?" in f) and f not in out and not (one_byte and _MARKS.fullmatch(f)):
-                out[f] = (steps, one_byte)
+                out[f] = (steps, one_byte, 1 << chain if one_byte else 0)
+            elif one_byte and f in out and out[f][1]:
+                out[f] = (*out[f][:2], out[f][2] | 1 << chain)
 
     same, raw = word.casefold(), word.encode("utf-8", "replace")
     for codec in READ_AS:
@@ -113,9 +122,9 @@ def garbled_forms(word: str) -> dict[str, tuple[int, bool]]:
             form = _read(form.encode("utf-8", "replace"), codec)
         put(form, len(chain), False)
         put(_C1.sub("", form), len(chain), False)
-    for write, read in ONE_BYTE:
+    for i, (write, read) in enumerate(ONE_BYTE):
         try:
-            put(_read(word.encode(write), read), 1, True)
+            put(_read(word.encode(write), read), 1, True, i + 1)
         except UnicodeEncodeError:
             pass
     for write, read in WIDE if _IDEOGRAPH.search(word) else ():
@@ -123,10 +132,10 @@ def garbled_forms(word: str) -> dict[str, tuple[int, bool]]:
             put(_read(word.encode(write), read), 1, False)
         except UnicodeEncodeError:
             pass
-    for write in LOST:
+    for i, write in enumerate(LOST, len(ONE_BYTE) + 1):
         try:
-            put(word.encode(write).decode("utf-8", "replace"), 1, True)
-            put(word.encode(write, "replace").decode(write), 1, True)
+            put(word.encode(write).decode("utf-8", "replace"), 1, True, i)
+            put(word.encode(write, "replace").decode(write), 1, True, i)
         except UnicodeEncodeError:
             pass
     return out
@@ -162,35 +171,36 @@ def pieces(text: str, of_corpus: bool) -> set[str]:
     return out
 
 
-def _garbled_pieces(piece: str) -> dict[str, tuple[int, bool]]:
+def _garbled_pieces(piece: str) -> dict[str, tuple[int, bool, int]]:
     kind, body = piece[:2], piece[2:]
     if kind == "w:":
-        return garbled_forms(body)
+        return _forms(body)
     if kind == "c:":
-        return {f: v for f, v in garbled_forms(body).items() if len(f) in (4, 6) and not v[1]}
+        return {f: v for f, v in _forms(body).items() if len(f) in (4, 6) and not v[1]}
     # the neighbours may themselves be marks of an edge, and stay; only chains of several bytes are told by a letter alone
     a, run, b = body[0], body[1:-1], body[-1]
     got = {}
-    for f, v in garbled_forms(run).items():
+    for f, v in _forms(run).items():
         if not v[1] and len(f) > len(run) and not f.isascii() and not _SURE.search(f):
             got[a + f + b] = v
     return got
 
 
 def _corpus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of pieces, summed up before they leave the task."""
-    counts: Counter[str] = Counter()
+    """Counts of pieces by source, summed up before they leave the task."""
+    counts: Counter[tuple[str, str]] = Counter()
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["piece", "n"])
+        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["piece", "s", "n"])
         counts.clear()
         return out
 
     for b in batches:
-        for col in range(1, b.num_columns):
-            for text in b.column(col).to_pylist():
+        sources = b.column(1).to_pylist()
+        for col in range(2, b.num_columns):
+            for s, text in zip(sources, b.column(col).to_pylist()):
                 if text:
-                    counts.update(pieces(text, True))
+                    counts.update((p, s) for p in pieces(text, True))
         if len(counts) > 300_000:
             yield flush()
     yield flush()
@@ -199,12 +209,13 @@ def _corpus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _lookup(fields: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_pylist()
+            ids, sources = b.column(0).to_pylist(), b.column(1).to_pylist()
             rows: list[int] = []
             names: list[str] = []
             got: list[str] = []
-            for col, field in enumerate(fields, 1):
-                for i, text in zip(ids, b.column(col).to_pylist()):
+            of: list[str] = []
+            for col, field in enumerate(fields, 2):
+                for i, s, text in zip(ids, sources, b.column(col).to_pylist()):
                     if not text:
                         continue
                     found = {"!"} if _SURE.search(text) else set()
@@ -212,7 +223,8 @@ def _lookup(fields: list[str]):
                     rows += [i] * len(found)
                     names += [field] * len(found)
                     got += found
-            yield pa.RecordBatch.from_arrays([pa.array(rows, b.column(0).type), pa.array(names, pa.string()), pa.array(got, pa.string())], names=["row_id", "field", "piece"])
+                    of += [s] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, b.column(0).type), pa.array(names, pa.string()), pa.array(got, pa.string()), pa.array(of, pa.string())], names=["row_id", "field", "piece", "s"])
 
     return run
 
@@ -247,73 +259,97 @@ def _garble(batches: Iterator[pa.RecordBatch], sieve: np.ndarray) -> Iterator[pa
     for b in batches:
         for s in range(0, b.num_rows, 2000):
             part = b.slice(s, 2000)
-            g, o, n, steps, one = [], [], [], [], []
-            for piece, count in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            g, o, n, n_s, steps, one, chains = [], [], [], [], [], [], []
+            for piece, count, spread in zip(*[part.column(i).to_pylist() for i in range(3)]):
                 if _SURE.search(piece):
                     continue  # surely garbled itself
-                for form, (k, single) in _garbled_pieces(piece).items():
+                for form, (k, single, bits) in _garbled_pieces(piece).items():
                     bit = _bit(piece[:2] + form)
                     if not sieve[bit >> 5] >> (bit & 31) & 1:
                         continue
                     g.append(piece[:2] + form)
                     o.append(piece)
                     n.append(count)
+                    n_s.append(spread)
                     steps.append(k)
                     one.append(single)
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(o, pa.string()), pa.array(n, pa.int64()), pa.array(steps, pa.int32()), pa.array(one, pa.bool_())], names=["piece", "original", "original_n", "steps", "one_byte"])
+                    chains.append(bits)
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(o, pa.string()), pa.array(n, pa.int64()), pa.array(n_s, pa.int64()), pa.array(steps, pa.int32()), pa.array(one, pa.bool_()), pa.array(chains, pa.int64())], names=["piece", "original", "original_n", "original_s", "steps", "one_byte", "chains"])
 
 
-def garbled_table(vocabulary: DataFrame, looked_up: DataFrame) -> DataFrame:
+def garbled_table(vocabulary: DataFrame, looked_up: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(piece, original, steps): the garbled forms of the corpus's pieces that occur in it, each with its likeliest original.
 
-    A form reached by one-byte chains is made of plausible letters, so there its original must be the commoner by far, and
-    it must have two letters at least. An original that is garbled itself gives way to one that is not.
+    A form reached by one-byte chains is made of plausible letters, so there its original must be the commoner by far, in
+    sources or, unless the sources say the opposite, in rows, and it must have two letters at least. An original that is garbled
+    itself gives way to one that is not. The second table has the one-byte forms of which neither is the commoner by far, for
+    the values they are in to decide.
     """
-    seen = written(looked_up.groupBy("piece").agg(F.count("*").alias("n")), "seen")
+    seen = written(looked_up.groupBy("piece", "s").agg(F.count("*").alias("n")).groupBy("piece").agg(F.sum("n").alias("n"), F.count("*").alias("n_s")), "seen")
     sieve = seen.sparkSession.sparkContext.broadcast(_sieve(seen))
     work = vocabulary.repartition(shuffle_width(seen.sparkSession))  # few bytes, much work
-    images = work.mapInArrow(_images(sieve), "piece string, original string, original_n long, steps int, one_byte boolean")
-    hits = images.join(seen, "piece").where(
-        F.when(F.col("one_byte"), (F.col("original_n") > 2 * F.col("n")) & (F.length("piece") > 3)).when(F.col("piece").startswith("x:"), F.col("original_n") >= 2).otherwise(F.lit(True))
-    )
-    hits = written(hits, "garbled")
-    clean = hits.join(hits.select(F.col("piece").alias("original")).distinct(), "original", "left_anti")
+    images = work.mapInArrow(_images(sieve), "piece string, original string, original_n long, original_s long, steps int, one_byte boolean, chains long")
+    commoner = F.expr("original_s > 2 * n_s or original_n > 2 * n and n_s <= 2 * original_s")
+    rarer = F.expr("n_s > 2 * original_s or n > 2 * original_n")
+    hits = images.join(seen, "piece").withColumn("sure", F.when(F.col("one_byte"), commoner).when(F.col("piece").startswith("x:"), F.col("original_n") >= 2).otherwise(F.lit(True)))
+    hits = written(hits.where((~F.col("one_byte") | (F.length("piece") > 3)) & (F.col("sure") | ~rarer)), "garbled")
+    sure = hits.where("sure")
+    clean = sure.join(sure.select(F.col("piece").alias("original")).distinct(), "original", "left_anti")
     best = F.row_number().over(Window.partitionBy("piece").orderBy("one_byte", "steps", F.desc("original_n"), "original"))
-    return clean.withColumn("rank", best).where("rank = 1").select("piece", "original", "steps")
+    return clean.withColumn("rank", best).where("rank = 1").select("piece", "original", "steps"), hits.where("one_byte and piece like 'w:%'")
 
 
-def _parts(rows: DataFrame, id_col: str, fields: list[str]):
-    base = rows.select(F.col(f"`{id_col}`").alias("row_id"), *[F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(fields)])
+def _hits(looked: DataFrame, tables: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(row_id, field, piece, original): what is garbled in each value.
+
+    Besides the sure forms, a value's own words decide: one chain makes clean two of its foreign words at least and OWN_SHARE of
+    them, and the originals have more sources together than the forms. Copies have no more words than one value.
+    """
+    table, close = tables
+    sure = looked.join(table, "piece").select("row_id", "field", "piece", "original")
+    each = looked.join(close, "piece").groupBy("row_id", "field", "piece").agg(F.bit_or("chains").alias("chains"), F.max("original_s").alias("o"), F.max("n_s").alias("n"), F.max(F.struct("original_s", "original_n", "original"))["original"].alias("original"))
+    each = written(each, "close")
+    by = each.groupBy("row_id", "field").agg(F.count("*").alias("made"), F.bit_and("chains").alias("chain"), F.sum("o").alias("o"), F.sum("n").alias("n")).where("made >= 2 and chain <> 0 and o > n")
+    words = looked.where("piece like 'w:%'").join(by, ["row_id", "field"], "left_semi").groupBy("row_id", "field").agg(F.count_distinct("piece").alias("words"))
+    own = by.join(words, ["row_id", "field"]).where(F.col("made") >= F.col("words") * OWN_SHARE).select("row_id", "field")
+    return sure.union(each.join(own, ["row_id", "field"], "left_semi").join(table, "piece", "left_anti").select("row_id", "field", "piece", "original"))
+
+
+def _parts(rows: DataFrame, id_col: str, fields: list[str], source_col: str):
+    # without a column of sources each row is one of its own
+    source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")) if source_col in rows.columns else F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
+    base = rows.select(F.col(f"`{id_col}`").alias("row_id"), source.alias("s"), *[F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(fields)])
     kind = base.schema["row_id"].dataType.simpleString()
-    looked = written(base.mapInArrow(_lookup(fields), f"row_id {kind}, field string, piece string"), "pieces")
-    vocabulary = base.mapInArrow(_corpus, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    looked = written(base.mapInArrow(_lookup(fields), f"row_id {kind}, field string, piece string, s string"), "pieces")
+    each = base.mapInArrow(_corpus, "piece string, s string, n long").groupBy("piece", "s").agg(F.sum("n").alias("n"))
+    vocabulary = each.groupBy("piece").agg(F.sum("n").alias("n"), F.count("*").alias("n_s"))
     return base, looked, garbled_table(vocabulary, looked.where("piece <> '!'"))
 
 
-def garbled_values(rows: DataFrame, id_col: str = "row_id", fields: tuple[str, ...] = ("title", "excerpt")) -> DataFrame:
+def garbled_values(rows: DataFrame, id_col: str = "row_id", fields: tuple[str, ...] = ("title", "excerpt"), source_col: str = "sourceId") -> DataFrame:
     """(row_id, field) of every value that holds garbled text, restorable or not, each once.
 
     Null, empty and pure ASCII values without '?' inside a word are no case. An empty table gives no rows. Only the named
     columns are read, so other columns can't clash; long texts are read whole.
     """
     ship(rows.sparkSession)
-    _, looked, table = _parts(rows, id_col, list(fields))
+    _, looked, table = _parts(rows, id_col, list(fields), source_col)
     sure = looked.where("piece = '!'").select("row_id", "field")
-    return sure.union(looked.join(table, "piece").select("row_id", "field")).distinct()
+    return sure.union(_hits(looked, table).select("row_id", "field")).distinct()
 
 
-def restored_values(rows: DataFrame, id_col: str = "row_id", fields: tuple[str, ...] = ("title", "excerpt")) -> DataFrame:
+def restored_values(rows: DataFrame, id_col: str = "row_id", fields: tuple[str, ...] = ("title", "excerpt"), source_col: str = "sourceId") -> DataFrame:
     """(row_id, field, restored, whole): garbled values with verified originals put in; whole: nothing garbled is left.
 
     Values of which nothing can be restored come out as they are, with whole = false.
     """
     ship(rows.sparkSession)
-    base, looked, table = _parts(rows, id_col, list(fields))
+    base, looked, table = _parts(rows, id_col, list(fields), source_col)
     sure = looked.where("piece = '!'").select("row_id", "field", F.lit(None).cast("string").alias("piece"), F.lit(None).cast("string").alias("original"))
-    hits = looked.join(table, "piece").select("row_id", "field", "piece", "original").union(sure).distinct()
+    hits = _hits(looked, table).union(sure).distinct()
     swaps = hits.groupBy("row_id", "field").agg(F.collect_list(F.struct("piece", "original")).alias("swaps"))
     text = F.coalesce(*[F.when(F.col("field") == f, F.col(f"f{i}")) for i, f in enumerate(fields)])
-    work = base.distinct().join(swaps, "row_id").select("row_id", "field", text.alias("t"), F.to_json("swaps").alias("s")).where("t is not null")
+    work = base.drop("s").distinct().join(swaps, "row_id").select("row_id", "field", text.alias("t"), F.to_json("swaps").alias("s")).where("t is not null")
     kind = base.schema["row_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

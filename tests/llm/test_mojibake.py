@@ -50,3 +50,15 @@ def test_values(spark):
     got = {(r.row_id, r.field): (r.restored, r.whole) for r in restored_values(df).collect()}
     assert got[1000, "title"] == (CLEAN[0], True) and got[1001, "excerpt"] == (CLEAN[1], True) and got[1002, "title"][0] == CLEAN[2]
     assert garbled_values(df.limit(0)).count() == 0
+
+
+def test_a_hot_source_and_rare_words(spark):
+    text = "Маленький театр построил новый вокзал"
+    bad = text.encode("koi8-r").decode("cp1251")
+    rows = [(i, f"s{i}", text, None) for i in range(4)] + [(100 + i, "hot", bad, None) for i in range(30)]  # copies outnumber the clean
+    rare = "Школьный сквер украсил музей"
+    rows += [(200, "s1", rare, None), (201, "s2", rare, None), (300, "hot", rare.encode("koi8-r").decode("cp1251"), None)]
+    df = spark.createDataFrame(rows, "row_id long, sourceId string, title string, excerpt string")
+    want = {(i, "title") for i in (*range(100, 130), 300)}
+    assert set(map(tuple, garbled_values(df).collect())) == want
+    assert {r.restored for r in restored_values(df).collect()} == {text, rare}
