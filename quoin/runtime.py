@@ -11,16 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_scratch: dict[str, str] = {}
+_session_dirs: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a local run) a temporary folder is set.
+    Only a local master (tests, the bench) may go without: there a temporary folder is set. On a cluster that is an error.
     """
     named = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{_CHECKPOINT_KEY} must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_scratch:
         _local_scratch[app] = "file://" + tempfile.mkdtemp(prefix="quoin-")
@@ -28,26 +31,46 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def session_dir(spark: SparkSession) -> str:
+    """This session's own folder in the shared one; it is removed when the session's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/quoin-{spark.sparkContext.applicationId}"
+    if path not in _session_dirs:
+        fs, p = _hadoop(spark, path)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _session_dirs.add(path)
+    return path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/quoin-{uuid.uuid4().hex[:12]}/{name}"
+    """A fresh path in the session's folder."""
+    return f"{session_dir(spark)}/{uuid.uuid4().hex[:12]}/{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back.
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder, in folders by the values of ``by``, and read it back.
 
     The written table survives the loss of executors, and reading it back gives Spark exact sizes to plan with.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Spark's own file-system layer."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    w = df.write
+    (w.partitionBy(*by) if by else w).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quoin_path = path
+    return out
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete a table that ``written`` made, once nothing reads it any more; other DataFrames are left alone."""
+    path = getattr(df, "_quoin_path", None)
+    if path:
+        fs, p = _hadoop(df.sparkSession, path)
+        fs.delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
