@@ -36,6 +36,11 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def make_dir(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.mkdirs(p)
+
+
 def session_dir(spark: SparkSession) -> str:
     """This session's own folder in the shared one; it is removed when the session's JVM ends."""
     path = f"{shared_dir(spark).rstrip('/')}/quoin-{spark.sparkContext.applicationId}"
