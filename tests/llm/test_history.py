@@ -1,6 +1,6 @@
 import random
 
-from quoin.llm.history import History, address_columns, first_rows, same_slug, slip
+from quoin.llm.history import History, addresses, address_columns, first_rows, near_pairs, same_slug, slip, with_pivots
 from pyspark.sql import functions as F
 
 SCHEMA = "row_id long, link string, address string"
@@ -71,8 +71,53 @@ def brute(rows):
 def test_against_all_pairs(spark):
     rows = rows_with_slips()
     df = spark.createDataFrame(rows, SCHEMA)
-    assert sorted(map(tuple, first_rows(df).collect())) == brute(rows)
-    assert first_rows(df.limit(0)).count() == 0
+    for batches in ("row_id div 100", "0", "if(row_id < 50, null, row_id % 3)"):
+        assert sorted(map(tuple, first_rows(df.withColumn("batch_no", F.expr(batches))).collect())) == brute(rows)
+    assert first_rows(df.limit(0), batch_col=None).count() == 0
+
+
+def test_what_is_another_article(spark):
+    got = forms(spark, ["https://a.example/20240115/glass-tower-opens", "https://a.example/20240115/museum-closes-doors", "https://a.example/202401/glass-tower", "https://a.example/202401/old-mill", "https://a.example/v?cid=1", "https://a.example/v?cid=2",
+                        "https://a.example/v?from=1201", "https://a.example/v?from=homepage", "https://a.example/v?source=rss", "https://a.example/v?view=2"])
+    assert len(set(got)) == 9 and got[7] == got[8] == "a.example/v"
+
+
+def keys_of(spark, slugs):
+    df = spark.createDataFrame([(i, f"https://a.example/news/{s}") for i, s in enumerate(slugs)], "row_id long, link string")
+    return with_pivots(addresses(df, "row_id", "link"))
+
+
+def mutated(rng, slug):
+    """One slip or lost word of the slug, at random."""
+    words = slug.split("-")
+    i = rng.randrange(len(words))
+    w, k = words[i], rng.randrange(1, max(2, len(words[i]) - 1))
+    kind = rng.randrange(4)
+    if kind == 0 and len(w) <= 4 and i < len(words) - 1:
+        return "-".join(words[:i] + words[i + 1 :])
+    words[i] = [w[:k] + w[k - 1] + w[k:], w[:k] + w[k + 1 :], w[: k - 1] + w[k : k + 1] + w[k - 1 : k] + w[k + 1 :], w[:k] + rng.choice("aeiouяж") + w[k:]][rng.randrange(4)]
+    return "-".join(words)
+
+
+def test_no_pair_of_two_slips_is_missed(spark):
+    rng = random.Random(3)
+    words = ["this", "that", "glass", "tree", "house", "villa", "of", "an", "oslo", "tower", "museum", "library", "courtyard", "über", "стекло", "дом", "new", "homes", "brick"]
+    slugs = ["this-that-glass-architecture", "glass-architecture", "tree-house-villa", "tre-huse-villa"]
+    for _ in range(300):
+        s = "-".join(rng.choice(words) for _ in range(rng.randrange(2, 7)))
+        slugs += [s, mutated(rng, s), mutated(rng, mutated(rng, s))]
+    slugs = [s for s in dict.fromkeys(slugs) if "-" in s and "--" not in s and not s.startswith("-") and not s.endswith("-")]
+    entries = keys_of(spark, slugs)
+    slug_of = {r.row_id: r.slug for r in entries.collect()}
+    want = {(a, b) for a in slug_of for b in slug_of if a > b and same_slug(slug_of[a], slug_of[b])}
+    assert set(map(tuple, near_pairs(entries).collect())) == want and len(want) > 300
+
+
+def test_foreign_slugs_share_no_key(spark):
+    rng = random.Random(4)
+    slugs = ["-".join("".join(rng.choice("абвгдежзийклмнопрстуфхцчшщ") for _ in range(7)) for _ in range(4)) for _ in range(400)]
+    by_key = keys_of(spark, slugs).select(F.explode("keys").alias("k")).groupBy("k").count()
+    assert by_key.agg(F.max("count")).first()[0] <= 3
 
 
 def test_batches_give_what_one_load_gives(spark, tmp_path):
@@ -82,3 +127,15 @@ def test_batches_give_what_one_load_gives(spark, tmp_path):
     for lo, hi in ((0, 90), (90, 120), (120, 100_000)):
         got += map(tuple, history.probe(df.where(f"row_id >= {lo} and row_id < {hi}")).collect())
     assert sorted(got) == brute(rows)
+    assert history.probe(df.where("row_id < 50")).count() == sum(b < 50 for _, b in brute(rows))  # a batch tried again adds nothing
+    assert history.articles().count() == history.articles().select("address").distinct().count()
+    history.close()
+
+
+def test_history_is_not_shuffled(spark, tmp_path):
+    history = History(spark, f"file://{tmp_path}/h", 4)
+    history.probe(spark.createDataFrame(rows_with_slips(40, 2), SCHEMA))
+    mine = spark.range(10).select(F.col("id").alias("key"), F.lit(1).cast("tinyint").alias("kind"))
+    plan = spark.table(history.name).join(mine.hint("shuffle_hash"), ["key", "kind"])._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 1
+    history.close()
