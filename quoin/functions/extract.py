@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quoin import catalog as C
 from quoin.functions.predicates import good_image
-from quoin.functions.text import absolute_url, as_html, clean_excerpt, collapse, deep_decode, let, trim, un_cdata, uri_decode, words_in
+from quoin.functions.text import absolute_url, clean_excerpt, deep_decode, let, trim, un_cdata, uri_decode, words_in
 
 
 def first(c: Column, *patterns: str, group: int = 1) -> Column:
@@ -30,11 +30,11 @@ def is_feed(xml: Column) -> Column:
     return F.coalesce(xml.rlike(C.FEED_ITEM), F.lit(False))
 
 
-def item_link(item: Column) -> Column:
+def item_link(item: Column, text: Column | None = None) -> Column:
     """The link element's text if it is an address, else the alternate link's, else the first link's href; '' without."""
-    text = trim(deep_decode(tag(item, "link")))
+    own = trim(deep_decode(tag(item, "link") if text is None else text))
     other = first(item, C.ALTERNATE_LINK, C.ANY_LINK)
-    return let(text, lambda t: F.when(t.rlike(r"^https?://"), t).otherwise(F.coalesce(deep_decode(other), F.lit(""))))
+    return let(own, lambda t: F.when(t.rlike(r"^https?://"), t).otherwise(F.coalesce(deep_decode(other), F.lit(""))))
 
 
 def _urls(c: Column, element: str, attribute: str, unless: str | None) -> Column:
@@ -61,13 +61,13 @@ def item_image(item: Column, html: Column) -> Column:
 
 
 def best_body(bodies: Column) -> Column:
-    """The first body of eight words; if that has under 45, the first of 45, if any; '' without."""
+    """The first body (as HTML) of eight words; if that has under 45, the first of 45, if any; '' without."""
 
     def of(counted: Column) -> Column:
         pick = lambda least: F.try_element_at(F.filter(counted, lambda x: x["n"] >= least), F.lit(1))
         return let(pick(8), lambda b: F.when(b.isNull(), "").when(b["n"] < 45, F.coalesce(pick(45)["b"], b["b"])).otherwise(b["b"]))
 
-    return let(F.transform(bodies, lambda b: F.struct(b.alias("b"), words_in(clean_excerpt(as_html(b))).alias("n"))), of)
+    return let(F.transform(bodies, lambda b: F.struct(b.alias("b"), words_in(clean_excerpt(b)).alias("n"))), of)
 
 
 def item_date(item: Column) -> Column:
@@ -101,7 +101,3 @@ def search_link(item: Column, domain: Column) -> Column:
 def search_image(item: Column) -> Column:
     """The hit's picture in the size asked for; null without."""
     return F.concat(absolute_url(F.nullif(deep_decode(tag(item, "News:Image")), F.lit(""))), F.lit(C.PICTURE_SIZE))
-
-
-def preview_title(html: Column) -> Column:
-    return collapse(F.regexp_extract(html, r"(?i)<title[^>]*>([\s\S]*?)</title>", 1))

@@ -40,9 +40,13 @@ def _replace_each(s: Column, rx: str, fn: Callable[[Column], Column]) -> Column:
     return F.array_join(F.zip_with(gaps, F.array_append(found, F.lit("")), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
+#: The dictionary as one SQL literal, which is parsed at once; a call a name would take longer than many queries.
+_NAMED = "map(" + ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for kv in ENTITIES.items() for x in kv) + ")"
+
+
 def decode_entities(c: Column) -> Column:
     """Hexadecimal, decimal and named references, one pass each in this order. Unknown names stay; names are case-sensitive."""
-    named = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
+    named = F.expr(_NAMED)
     hexa = lambda h: F.when(F.length(F.regexp_replace(h, "^0+", "")) <= 8, code_point(F.conv(h, 16, 10).cast("bigint"))).otherwise("")
     dec = lambda d: F.when(F.length(F.regexp_replace(d, "^0+", "")) <= 9, code_point(d.try_cast("bigint"))).otherwise("")
     name = lambda n: F.coalesce(F.try_element_at(named, n), F.concat(F.lit("&"), n, F.lit(";")))
@@ -53,7 +57,8 @@ def decode_entities(c: Column) -> Column:
 
 def deep_decode(c: Column) -> Column:
     """Decoded until stable, three times at most; a stable text is not changed by another pass."""
-    return let(let(let(c, decode_entities), decode_entities), decode_entities)
+    again = F.aggregate(F.sequence(F.lit(1), F.lit(3)), c, lambda s, _: decode_entities(s))
+    return F.when(F.contains(c, F.lit("&")), again).otherwise(c)
 
 
 def un_cdata(c: Column) -> Column:
@@ -70,9 +75,13 @@ def to_text(html: Column) -> Column:
 
 
 def clean_excerpt(html: Column) -> Column:
+    """HTML to text without the feed's own closing phrases, cut at 700 characters on a word."""
+    return without_closing(to_text(html))
+
+
+def without_closing(plain: Column) -> Column:
     """Text without the feed's own closing phrases, cut at 700 characters on a word."""
-    s = to_text(html)
-    s = F.regexp_replace(s, FEED_CREDIT, "")
+    s = F.regexp_replace(plain, FEED_CREDIT, "")
     s = F.regexp_replace(s, rf"(?i){WS}*(?:{MORE_PHRASES})(?![A-Za-z0-9_])[^\n\r]*\z", "")
     s = trim(F.regexp_replace(s, rf"{WS}*\[(?:…|\.\.\.|&hellip;)\]{WS}*\z", "…"))
     return let(s, lambda t: F.when(F.length(t) > 700, F.concat(F.regexp_replace(F.left(t, F.lit(700)), rf"{WS}+[^\t\n\x0B\f\r \x{{00A0}}]*\z", ""), F.lit("…"))).otherwise(t))
@@ -120,9 +129,10 @@ def clean_title(title: Column, source_name: Column | None = None) -> Column:
     listed = F.regexp_replace(t, rf"(?i){WS}+[-–|]{WS}+(?:{PUBLICATIONS}){WS}*\z", "")
     if source_name is None:
         return listed
-    own = F.regexp_extract(t, rf"^([\s\S]*?[^\s]){WS}+[-–|]{WS}+([^-–|]+?){WS}*\z", 2)
-    short = F.regexp_extract(t, rf"^([\s\S]*?[^\s]){WS}+[-–|]{WS}+([^-–|]+?){WS}*\z", 1)
-    return F.when((own != "") & (F.lower(own) == F.lower(F.coalesce(source_name, F.lit("")))), short).otherwise(listed)
+    name = collapse(F.coalesce(source_name, F.lit("")))
+    head = F.rtrim(F.left(t, F.length(t) - F.length(name)))  # collapsed, so blanks are blanks
+    own = (name != "") & F.endswith(F.lower(t), F.lower(name)) & head.rlike(r"[^ ] +[-–|]$") & (F.length(head) < F.length(t) - F.length(name))
+    return F.when(own, F.rtrim(F.left(head, F.length(head) - 1))).otherwise(listed)
 
 
 def iso_ms(ms: Column) -> Column:
@@ -144,7 +154,7 @@ def age(ts_ms: Column, now_ms: int) -> Column:
     s = F.greatest(F.lit(0), F.floor((F.lit(now_ms) - ts_ms) / 1000))
     days = F.floor(s / 86400)
     return (
-        F.when(s < 3600, F.concat(F.greatest(F.lit(1), F.floor(s / 60)).cast("string"), F.lit("m ago")))
+        F.when(ts_ms.isNull(), F.lit(None).cast("string")).when(s < 3600, F.concat(F.greatest(F.lit(1), F.floor(s / 60)).cast("string"), F.lit("m ago")))
         .when(s < 86400, F.concat(F.floor(s / 3600).cast("string"), F.lit("h ago")))
         .when(days == 1, F.lit("Yesterday"))
         .otherwise(F.concat(days.cast("string"), F.lit("d ago")))

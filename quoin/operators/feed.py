@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from quoin.catalog import ENRICH_MAX, PER_SOURCE
 from quoin.functions import extract
 from quoin.functions.predicates import good_preview, recent, valid_story
 from quoin.functions.text import absolute_url, link_key, title_key
-from quoin.runtime import ship, written
+from quoin.runtime import drop_written, written
 
 VALID = lambda: valid_story(F.col("title"), F.col("link"))
 
@@ -25,8 +22,9 @@ def plan_steps(sources: DataFrame) -> DataFrame:
 def fallback(stories: DataFrame, steps: DataFrame, source: str = "sourceId", step: str = "step_no") -> DataFrame:
     """(source_id, winner, via, tried): the first step with valid stories, and each step tried up to it with its count.
 
-    Sources none of whose steps has valid stories come out with a null winner and all steps tried. Counts are made before
-    any join, so a hot source costs one row a step.
+    Sources none of whose steps has valid stories come out with a null winner and all steps tried; a source whose plan can't
+    be run at all (``steps`` has none of it) comes out of ``with_unplanned`` with 'error'. Counts are made before any join, so a
+    hot source costs one row a step.
     """
     n = stories.where(VALID()).groupBy(F.col(source).alias("source_id"), F.col(step).alias("step_no")).agg(F.count("*").alias("n"))
     each = steps.select("source_id", "step_no", "kind").join(n, ["source_id", "step_no"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -37,6 +35,12 @@ def fallback(stories: DataFrame, steps: DataFrame, source: str = "sourceId", ste
     return won.select("source_id", "winner", via.alias("via"), label.alias("tried"))
 
 
+def with_unplanned(won: DataFrame, sources: DataFrame) -> DataFrame:
+    """The fallback's rows and one for each source without a plan: nothing won, 'error' tried."""
+    rest = sources.select(F.col("id").alias("source_id")).join(won.select("source_id"), "source_id", "left_anti")
+    return won.unionByName(rest.select("source_id", F.lit(None).cast("int").alias("winner"), F.lit(None).cast("string").alias("via"), F.array(F.lit("error")).alias("tried")))
+
+
 def newest_per_source(df: DataFrame, n: int = PER_SOURCE, source: str = "sourceId", ts: str = "timestamp", ties: tuple[str, ...] = ("row_id",)) -> DataFrame:
     """The n newest rows of each source with their place (src_rank). Spark cuts each map task to n rows a source first."""
     w = Window.partitionBy(source).orderBy(F.col(ts).desc_nulls_last(), *ties)
@@ -56,19 +60,30 @@ def greedy_dedupe(df: DataFrame, order: str, source: str = "sourceId", title: st
 
     order: a column of distinct, rising numbers. Rounds: keep what is first in both its key groups among the undecided, drop
     the undecided that share a key with a kept row, go on with the rest. Each round decides at least the first row left;
-    texts with both keys alike are one row from the start, so a hot pair of keys costs one.
+    texts with both keys alike are one row from the start, so a hot pair of keys costs one. A row without a link (null or
+    empty) or without a title has no key of that kind: it is judged by the other one, and kept where it has neither.
     """
-    keyed = df.select(F.col(order).alias("o"), F.coalesce(link_key(F.col(link)), F.lit("")).alias("k"), F.coalesce(title_key(F.coalesce(source, F.lit("")), F.coalesce(F.col(title), F.lit(""))), F.lit("")).alias("t"))
-    left = written(keyed.groupBy("k", "t").agg(F.min("o").alias("o")), "undecided")
-    kept: DataFrame | None = None
-    while True:
-        by_k, by_t = left.groupBy("k").agg(F.min("o").alias("k_min")), left.groupBy("t").agg(F.min("o").alias("t_min"))
-        marked = left.join(by_k, "k").join(by_t, "t")
-        now = written(marked.where("o = k_min and o = t_min").select("o", "k", "t"), "kept")
-        kept = now if kept is None else kept.unionByName(now)
-        left = written(left.join(now.select("k"), "k", "left_anti").join(now.select("t"), "t", "left_anti"), "undecided")
-        if left.isEmpty():
-            return df.join(kept.select(F.col("o").alias(order)), order, "left_semi")
+    no_key = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    k = F.when(~no_key(link), link_key(F.col(link)))
+    t = F.when(~no_key(title), title_key(F.coalesce(source, F.lit("")), F.col(title)))
+    keyed = df.select(F.col(order).alias("o"), k.alias("k"), t.alias("t"))
+    left = written(keyed.where("k is not null or t is not null").groupBy("k", "t").agg(F.min("o").alias("o")), "undecided")
+    rounds = [written(keyed.where("k is null and t is null").select("o", "k", "t"), "kept")]
+    while not left.isEmpty():
+        first = left
+        for key in ("k", "t"):  # rows without a key stay out of its groups
+            least = left.where(f"{key} is not null").groupBy(key).agg(F.min("o").alias(f"{key}_min"))
+            first = first.where(f"{key} is not null").join(least, key).unionByName(first.where(f"{key} is null").withColumn(f"{key}_min", F.col("o")))
+        now = written(first.where("o = k_min and o = t_min").select("o", "k", "t"), "kept")
+        rounds.append(now)
+        rest = left.join(now.where("k is not null").select("k"), "k", "left_anti").join(now.where("t is not null").select("t"), "t", "left_anti")
+        rest = written(rest.join(now.select("o"), "o", "left_anti").select("k", "t", "o"), "undecided")
+        drop_written(left)
+        left = rest
+    kept = rounds[0]
+    for more in rounds[1:]:
+        kept = kept.unionByName(more)
+    return df.join(kept.select(F.col("o").alias(order)), order, "left_semi")
 
 
 def with_previews(df: DataFrame, pages: DataFrame, order: str = "rank", most: int | None = ENRICH_MAX, link: str = "link", image: str = "image") -> DataFrame:
@@ -92,65 +107,27 @@ def source_health(sources: DataFrame, stories: DataFrame, won: DataFrame | None
     return out.select("source_id", "via", "tried", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("stories", "with_image", "with_short")])
 
 
-def build_feed(stories: DataFrame, now_ms: int, order: str = "row_id", n: int = PER_SOURCE) -> DataFrame:
+def build_feed(stories: DataFrame, now_ms: int, ties: tuple[str, ...] = ("row_id",), n: int = PER_SOURCE) -> DataFrame:
     """Valid stories, the n newest a source, deduped by two keys in that order, recent ones only, with their rank.
 
     The order of the steps matters: a source is not refilled after dedupe, and age is looked at last.
     """
-    top = newest_per_source(stories.where(VALID()).where("sourceId is not null"), n, ties=(order,))
+    top = newest_per_source(stories.where(VALID()).where("sourceId is not null"), n, ties=ties)
     seq = ranked(top, [F.col("sourceId"), F.col("src_rank")], "feed_no")
     kept = greedy_dedupe(seq, "feed_no").where(recent(F.col("timestamp"), now_ms))
     return ranked(kept, [F.desc("timestamp"), F.asc("feed_no")]).drop("feed_no", "src_rank")
 
 
-def _mix(window: int, key: str, out_schema: pa.Schema):
-    """Deal out each deck in order, but never one source twice running where another is within the window."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deck, last, pool, place = object(), None, [], 0
-        out: list[tuple] = []
-
-        def deal(to: int) -> None:
-            nonlocal last, place
-            while len(pool) > to:
-                pick = 0
-                if pool[0][1] == last:
-                    pick = next((i for i in range(1, min(len(pool), window)) if pool[i][1] != last), 0)
-                o, last = pool.pop(pick)
-                out.append((deck, o, last, place))
-                place += 1
-
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*out)) or [()] * 4
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out_schema)], schema=out_schema)
-
-        for b in batches:
-            for d, o, s in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if d != deck:
-                    deal(0)
-                    deck, last, place = d, None, 0
-                pool.append((o, s))
-                deal(window - 1)  # the first ``window`` rows are all that a choice can see
-            yield flush()
-        deal(0)
-        yield flush()
-
-    return run
-
-
-def interleave(df: DataFrame, order: str, deck: str | None = None, source: str = "sourceId", window: int = 8) -> DataFrame:
-    """The rows with ``place``: order as given, but the next row of another source within the window comes first when the
-    head's source was just dealt. Each deck is streamed with no more than ``window`` rows in memory, whatever its length."""
-    ship(df.sparkSession)
-    base = df.select((F.col(deck) if deck else F.lit(0)).alias("d"), F.col(order).alias("o"), F.coalesce(source, F.lit("")).alias("s"))
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    schema = StructType([*base.schema.fields, StructField("place", LongType())])
-    dealt = base.repartition("d").sortWithinPartitions("d", "o").mapInArrow(_mix(window, order, to_arrow_schema(schema)), schema)
-    on = (F.col(order) == F.col("__o")) & (F.col(deck).eqNullSafe(F.col("__d")) if deck else F.lit(True))
-    return df.join(dealt.select(F.col("d").alias("__d"), F.col("o").alias("__o"), "place"), on).drop("__d", "__o")
+def run_feed(stories: DataFrame, sources: DataFrame, pages: DataFrame, now_ms: int, ties: tuple[str, ...] = ("fetch_no", "pos")) -> tuple[DataFrame, DataFrame]:
+    """(feed, health): the whole pipeline over parsed stories with ``step_no``.
+
+    Each source's first step with valid stories is taken, then the feed is built of these, previews are looked up for the
+    first stories without an image, and health is counted over what comes out, with what was tried.
+    """
+    won = written(with_unplanned(fallback(stories, plan_steps(sources)), sources), "won")
+    chosen = stories.join(won.where("winner is not null").select(F.col("source_id").alias("sourceId"), F.col("winner").alias("step_no")), ["sourceId", "step_no"], "left_semi")
+    feed = written(with_previews(build_feed(chosen, now_ms, ties), pages), "feed")
+    return feed, source_health(sources, feed, won)
 
 
 def first_seen(df: DataFrame, key, order: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.catalog import CACHE_LEAST
@@ -20,6 +20,16 @@ def feed_summary(stories: DataFrame, health: DataFrame, now_ms: int, version: in
     return n.crossJoin(by).select(F.lit(True).alias("success"), F.lit(version).alias("version"), "count", "sources", "health", iso_ms(F.lit(now_ms)).alias("updatedAt"), cache_policy(F.col("count")).alias("cache_control"))
 
 
+def health_document(summary: DataFrame) -> DataFrame:
+    """(version, count, updatedAt, health): what is given out when only health is asked for."""
+    return summary.select("version", "count", "updatedAt", "health")
+
+
+def error_document(spark: SparkSession, message: str) -> DataFrame:
+    """What stands in for a feed that could not be built: one row without stories."""
+    return spark.range(1).select(F.lit(False).alias("success"), F.lit(message).alias("error"), F.lit(0).cast("long").alias("count"))
+
+
 def story_json(stories: DataFrame, rank: str = "rank") -> DataFrame:
     """(rank, json): one line a story, so that a feed of any size is written in parallel and in order."""
     cols = [c for c in stories.columns if c != rank]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quoin.operators.feed import VALID
 from quoin.sources.landing import parse
 
-LANDING_SCHEMA = "source_id string, step_no int, kind string, url string, url_no int, body string"
+LANDING_SCHEMA = "source_id string, step_no int, kind string, url string, url_no int, body string, fetch_no long, status int"
 
 
 def stories_from(spark: SparkSession, landing_dir: str, sources: DataFrame, out_dir: str, checkpoint_dir: str, now_ms: int, available_now: bool = True):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quoin.catalog import source_catalog
 from quoin.operators import feed as ops
+from quoin.operators.interleave import interleave
 from quoin.plans import consumers
 from quoin.sources import landing, sinks
 
@@ -20,15 +21,15 @@ def story(i, s="a", title=None, link=None, ts=NOW, image=None):
 
 
 def greedy(rows):
+    """One row after the other; a missing link or title is no key."""
     seen, out = set(), []
     for i, s, title, link, *_ in rows:
         k = (link or "").split("?")[0].split("#")[0]
-        k = ("k", (k[:-1] if k.endswith("/") else k).lower())
-        t = ("t", (s or "") + "|" + (title or "")[:60].lower())
-        if k in seen or t in seen:
-            continue
-        seen |= {k, t}
-        out.append(i)
+        keys = {("k", (k[:-1] if k.endswith("/") else k).lower())} if link else set()
+        keys |= {("t", (s or "") + "|" + title[:60].lower())} if title else set()
+        if not keys & seen:
+            seen |= keys
+            out.append(i)
     return out
 
 
@@ -54,10 +55,40 @@ def test_greedy_dedupe(spark):
 def test_interleave(spark):
     for sources in ("aaabac", "aaaaaaaaab", "abab", "a", "aabbccaaab" * 9):
         rows = [story(i, s) for i, s in enumerate(sources)]
-        got = ops.interleave(spark.createDataFrame(rows, STORY), "row_id").orderBy("place").collect()
+        got = interleave(spark.createDataFrame(rows, STORY), "row_id").orderBy("place").collect()
         assert [r.row_id for r in got] == mix(rows)
+    assert interleave(spark.createDataFrame([], STORY), "row_id").count() == 0
     two = spark.createDataFrame([(d, i, s) for d in (1, 2) for i, s in enumerate("aab")], "deck int, n int, sourceId string")
-    assert [(r.deck, r.n) for r in ops.interleave(two, "n", "deck").orderBy("deck", "place").collect()] == [(1, 0), (1, 2), (1, 1), (2, 0), (2, 2), (2, 1)]
+    assert [(r.deck, r.n) for r in interleave(two, "n", "deck").orderBy("deck", "place").collect()] == [(1, 0), (1, 2), (1, 1), (2, 0), (2, 2), (2, 1)]
+
+
+def test_interleave_in_ranges(spark):
+    """Many ranges, hot sources, decks that begin and end within ranges: the same as one row after the other."""
+    rng = random.Random(8)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for weights in ((9, 1, 1), (1, 1, 1), (30, 1, 0), (1, 0, 0)):
+            rows = [(d, i, rng.choices("abc", weights)[0] if rng.random() < 0.95 else None) for d in (1, 2, 3) for i in range((700, 3, 260)[d - 1])]
+            df = spark.createDataFrame(rows, "deck int, n int, sourceId string").repartition(5)
+            want = [(d, n) for d in (1, 2, 3) for n in mix([(n, s or "") for e, n, s in rows if e == d])]
+            assert [(r.deck, r.n) for r in interleave(df, "n", "deck").orderBy("deck", "place").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_states_are_foreseen():
+    from quoin.operators.interleave import CLEAN, deal, foreseen
+
+    rng = random.Random(9)
+    for _ in range(60):
+        weights = [rng.random() ** 3 for _ in range(4)]
+        rows = [(i, rng.choices("abcd", weights)[0]) for i in range(120)]
+        state = CLEAN
+        for i, row in enumerate(rows):
+            state = deal(state, row, 8)[0]
+            assert state in foreseen(rows[max(0, i - 23) : i + 1], 8)
 
 
 def test_rank_is_global(spark):
@@ -140,6 +171,47 @@ def test_consumers(spark):
     assert [tuple(r) for r in sizes] == [(0, 50), (1, 50), (2, 20)]
 
 
+def test_reader_and_sign_ups(spark):
+    feed = spark.createDataFrame([story(1), story(2)], STORY)
+    asked = spark.createDataFrame([("#a-1", "saved"), ("a%2D2", "b"), ("#gone", "b"), ("#%zz", "b"), (None, "b")], "fragment string, wanted string")
+    assert [(r.requested, r.found, r["filter"]) for r in consumers.deep_links(asked, feed).orderBy("requested", "wanted").collect()] == [(None, False, "b"), (None, False, "b"), ("a-1", True, "all"), ("a-2", True, "all"), ("gone", False, "b")]
+    with pytest.raises(ValueError):
+        consumers.loadable(feed.limit(0), required=True)
+    assert consumers.loadable(feed, required=True).count() == 2
+    bodies = spark.createDataFrame([('{"email":" A@b "}',), ('"{\\"email\\":\\"c@d\\"}"',), ("{}",), ("[1",), (None,)], "body string")
+    assert [r.email for r in consumers.sign_ups(bodies).collect()] == [" A@b ", "c@d", "", "", ""]
+    new = spark.createDataFrame([("n@x",)], "email string")
+    assert consumers.subscriber_counter(spark.createDataFrame([("a@x",), ("a@x",)], "email string"), new).first()[0] == 2
+    assert consumers.welcomes(new).first().to == "n@x"
+    empty = spark.createDataFrame([], "batch_no long, to string")
+    assert consumers.digest_log(empty, F.lit("t")).count() == 0
+    state = consumers.digest_counters(consumers.digest_log(empty, F.lit("t"))).first()
+    assert (state.last_sent, state.emails_sent, state.recipients) == (None, 0, 0)
+    no_rows = consumers.digest_html(consumers.digest_rows(feed.limit(0).withColumn("rank", F.lit(1)), spark.createDataFrame([], "id string, color string")), F.lit("2025-12-01").cast("date"))
+    assert no_rows.count() == 0  # no stories, no digest
+    value = spark.createDataFrame([('{"n":1}',), ("{",), (None,)], "v string")
+    assert [r[0] for r in value.select(consumers.stored(F.col("v"), "n bigint", F.struct(F.lit(7).cast("long").alias("n")))["n"]).collect()] == [1, 7, 7]
+    assert sinks.error_document(spark, "late").first().asDict() == {"success": False, "error": "late", "count": 0}
+
+
+def test_failed_answers_and_unplanned_sources(spark):
+    src = spark.createDataFrame([("p", "Pub", "#1", "pub.example", [("rss", ["u"], None)]), ("q", "Q", None, "q.example", None)], "id string, name string, color string, domain string, plan array<struct<kind string, arg array<string>, types array<string>>>")
+    item = "<item><title>Title one</title><link>https://pub.example/1</link></item>"
+    land = spark.createDataFrame([("p", 0, "rss", 0, item, 1, 503), ("p", 0, "rss", 0, item, 2, 200), ("p", 0, "rss", 0, item, None, None)], "source_id string, step_no int, kind string, url_no int, body string, fetch_no long, status int")
+    stories = landing.parse(land, src, NOW)
+    assert sorted(r.fetch_no for r in stories.collect()) == [0, 2]
+    feed, health = ops.run_feed(stories, src, spark.createDataFrame([], "link string, html string"), NOW)
+    assert [(r["rank"], r.title) for r in feed.collect()] == [(1, "Title one")]
+    assert {(r.source_id, r.via, tuple(r.tried), r.stories) for r in health.collect()} == {("p", "rss", ("rss:2",), 1), ("q", None, ("error",), 0)}
+
+
+def test_own_name_with_a_dash(spark):
+    from quoin.functions.text import clean_title
+
+    df = spark.createDataFrame([("A hall - Arch-Record", "Arch-Record"), ("A hall -Arch-Record", "Arch-Record"), ("Arch-Record", "Arch-Record"), ("A hall | Dezeen", None), ("A hall – x (y)", "X (y)")], "t string, n string")
+    assert [r[0] for r in df.select(clean_title(F.col("t"), F.col("n"))).collect()] == ["A hall", "A hall -Arch-Record", "Arch-Record", "A hall", "A hall"]
+
+
 def test_catalog(spark):
     steps = ops.plan_steps(source_catalog(spark))
     assert source_catalog(spark).count() == 8 and steps.count() == 20
@@ -153,7 +225,7 @@ def test_entry_point_without_and_with_data(spark):
         assert e.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["feed_stories", "clean_excerpts", "story_hashes", "fallback_winner", "enriched_images"])
+@pytest.mark.parametrize("name", ["feed_stories", "clean_excerpts", "story_hashes", "fallback_winner", "enriched_images", "interleaved", "rss_items", "wp_posts", "section_articles", "search_hits", "feed_run", "feed_health"])
 def test_against_sql(spark, name):
     import duckdb
 

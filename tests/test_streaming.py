@@ -8,7 +8,7 @@ def test_batches_are_parsed_once(spark, tmp_path):
     item = "<item><title>Title {}</title><link>https://pub.example/{}</link></item>"
 
     def land(n):
-        spark.createDataFrame([("p", 0, "rss", "u", 0, item.format(n, n)), ("p", 1, "rss", "u", 0, None)], LANDING_SCHEMA).write.mode("append").parquet(f"{tmp_path}/in")
+        spark.createDataFrame([("p", 0, "rss", "u", 0, item.format(n, n), n, 200), ("p", 1, "rss", "u", 0, None, n, None)], LANDING_SCHEMA).write.mode("append").parquet(f"{tmp_path}/in")
 
     for n in (1, 2):
         land(n)
