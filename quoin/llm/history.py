@@ -197,8 +197,8 @@ def same_slug(a: str, b: str, most: int = 2) -> bool:
     if abs(len(x) - len(y)) > most:
         return False
     drop = lambda t: 0 if not t else 1 if len(t) <= SHORT and t.isalpha() and not re.fullmatch(_ROMAN, t) else 99
-    if len(x) != len(y) and x[-1] != y[-1] and not slip(x[-1], y[-1]):
-        return False  # a word more at the end tells articles apart
+    if x[-1] != y[-1] and not slip(x[-1], y[-1]):
+        return False  # another word at the end tells articles apart
     row = [0]
     for t in y:
         row.append(row[-1] + drop(t))
@@ -294,11 +294,12 @@ class History:
         links = near_pairs(entries)
         known = entries.select("address", "row_id").limit(0)
         if not empty:
-            mine = keyed.select("key", "kind", F.col("row_id").alias("a"), F.col("text").alias("x"), F.col("counts").alias("x_counts"))
+            mine = keyed.select("key", F.col("kind").alias("mine"), F.col("row_id").alias("a"), F.col("text").alias("x"), F.col("counts").alias("x_counts"))
             if entries.count() * 9 <= HELD * self.buckets:
                 mine = mine.hint("shuffle_hash")
             stored = self.spark.table(self.name).select("key", "kind", F.col("row_id").alias("b"), F.col("text").alias("y"), F.col("counts").alias("y_counts"))
-            met = written(stored.join(mine, ["key", "kind"]).where("kind = 1 and x <> y or kind = 0 and x = y").drop("key"), "batch_met")
+            # a join by more than the key would shuffle what is stored
+            met = written(stored.join(mine, "key").where("kind = 1 and mine = 1 and x <> y or kind = 0 and mine = 0 and x = y").drop("key", "mine"), "batch_met")
             known = met.where("kind = 0").select(F.col("x").alias("address"), F.col("b").alias("row_id")).distinct()
             links = links.union(verified(met.where("kind = 1")))
         links.write.mode("append").parquet(f"{self.path}/links")

@@ -34,6 +34,8 @@ PURITY = 0.12
 #: per n-gram). Without a stop at its end it needs twice the words and OPEN_LEAD.
 LEAST_WORDS, LEAST_LETTERS, LEAD, OPEN_LEAD = 3, 12, 0.035, 0.12
 WORDS_KEPT = 300_000
+#: Languages there may be: they are collected to the driver.
+CODES_MAX = 10_000
 
 #: ISO 639-2 and 639-3 codes beside the two-letter ones: fixed values.
 THREE_LETTERS = {
@@ -60,6 +62,14 @@ def code_of(label: Column, codes: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, plain), F.try_element_at(table, F.regexp_extract(plain, r"^([^\s-]+)-[a-z0-9-]+$", 1)), F.try_element_at(table, F.regexp_extract(plain, r"^(\S+) ?\(.*\)$", 1)))
 
 
+def codes_of(lang_codes: DataFrame) -> dict[str, str]:
+    """code -> name. More than CODES_MAX languages are no table of languages: an error, as they are collected."""
+    got = lang_codes.select("code", "name").where("code is not null").distinct().limit(CODES_MAX + 1).collect()
+    if len(got) > CODES_MAX:
+        raise ValueError(f"more than {CODES_MAX} languages")
+    return {r[0]: r[1] for r in sorted(got, key=lambda r: (r[0], r[1] or ""))}
+
+
 def grams(word: str) -> list[str]:
     """The n-grams of a word; words of scripts without blanks have no edges."""
     if _WIDE.search(word):
@@ -291,8 +301,11 @@ class Classifier:
             rest = np.delete(own, x)
             sure = max(0.0, min(1.0, float((rest.min() - own[x]) / max(rest.min(), 1e-9)))) if len(rest) else 1.0
             if out and out[-1][2] == self.langs[x]:
-                q = out[-1]
-                out[-1] = (q[0], q[1] + z - a, q[2], max(q[3], sure))
+                first = out[-1][0]
+                own = self.out_of_place(ids[starts[first] : ends[z - 1]])
+                rest = np.delete(own, x)
+                sure = max(0.0, min(1.0, float((rest.min() - own[x]) / max(rest.min(), 1e-9)))) if len(rest) else 1.0
+                out[-1] = (first, z - first, self.langs[x], sure)
             else:
                 out.append((a, z - a, self.langs[x], sure))
         return out
@@ -306,7 +319,7 @@ def passages(docs: DataFrame, lang_codes: DataFrame, id_col: str = "doc_id", tex
     Only the named columns are read, so other columns can't clash.
     """
     ship(docs.sparkSession)
-    codes = {r[0]: r[1] for r in lang_codes.select("code", "name").where("code is not null").limit(10_000).collect()}
+    codes = codes_of(lang_codes)
     label = code_of(F.col(f"`{label_col}`"), codes) if codes else F.lit(None).cast("string")
     profiles = train(docs, label, text_col)
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), label.alias("label"), F.col(f"`{text_col}`").alias("t")).where("t is not null and t <> ''")

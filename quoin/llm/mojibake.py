@@ -11,7 +11,6 @@ are garbled in themselves.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -21,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoin.llm.sieve import Sieve, sieve_of_texts, text_key
 from quoin.runtime import ship, shuffle_width, written
 
 #: Encodings text is read in by mistake when it was written in UTF-8.
@@ -41,8 +41,8 @@ TWICE = (("cp1252", "cp1252"), ("latin-1", "latin-1"), ("cp1252", "latin-1"), ("
 
 #: Share of a value's foreign words that one chain must make clean where the corpus can't tell.
 OWN_SHARE = 0.8
-#: Size of the sieve that drops garbled forms which occur nowhere: 4 MB, however large the corpus. It only saves work.
-SIEVE_BITS = 1 << 25
+#: Lengths that pairs of ideographs have when garbled, and the length of a run from which on windows of it are looked up.
+WINDOWS, LONG_RUN = (2, 3, 4, 5, 6, 12), 12
 
 _C1 = re.compile("[\x80-\x9f]")
 _SURE = re.compile("[\x80-\x9f�]")
@@ -155,18 +155,19 @@ def pieces(text: str, of_corpus: bool) -> set[str]:
                 out.add("w:" + tok.strip(_EDGE))
             continue
         word = tok.strip(_EDGE)
-        if len(word) <= 60:
-            out.add("w:" + word)
+        out.add("w:" + word)
+        longest = 0
         for m in _RUN.finditer(tok):
             a, b = m.span()
-            if b - a <= 12:
+            longest = max(longest, b - a)
+            if b - a <= LONG_RUN or m[0] != word:  # a long word that is all run is looked up as a word
                 out.add(f"x:{tok[a - 1] if a else '^'}{m[0]}{tok[b] if b < len(tok) else '$'}")
         if of_corpus:
             for m in _CJK.finditer(tok):
                 run = m[0]
                 out.update("c:" + run[i : i + 2] for i in range(len(run) - 1))
-        elif len(tok) >= 6 and len(_ODD.findall(tok)) * 4 >= len(tok):
-            for size in (4, 6):
+        elif longest > LONG_RUN or len(tok) >= 6 and len(_ODD.findall(tok)) * 4 >= len(tok):
+            for size in WINDOWS:
                 out.update("c:" + tok[i : i + size] for i in range(len(tok) - size + 1))
     return out
 
@@ -176,7 +177,7 @@ def _garbled_pieces(piece: str) -> dict[str, tuple[int, bool, int]]:
     if kind == "w:":
         return _forms(body)
     if kind == "c:":
-        return {f: v for f, v in _forms(body).items() if len(f) in (4, 6) and not v[1]}
+        return {f: v for f, v in _forms(body).items() if len(f) in WINDOWS and not v[1]}
     # the neighbours may themselves be marks of an edge, and stay; only chains of several bytes are told by a letter alone
     a, run, b = body[0], body[1:-1], body[-1]
     got = {}
@@ -229,33 +230,11 @@ def _lookup(fields: list[str]):
     return run
 
 
-def _bit(piece: str) -> int:
-    return zlib.crc32(piece.encode("utf-8", "replace")) & (SIEVE_BITS - 1)
-
-
-def _sieve_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bits of pieces as (number of a 32-bit word, word)."""
-    words: dict[int, int] = {}
-    for b in batches:
-        for piece in b.column(0).to_pylist():
-            bit = _bit(piece)
-            words[bit >> 5] = words.get(bit >> 5, 0) | 1 << (bit & 31)
-    yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.int32()), pa.array(list(words.values()), pa.int64())], names=["at", "word"])
-
-
-def _sieve(seen: DataFrame) -> np.ndarray:
-    """A bit for each piece that is looked up, SIEVE_BITS at most: whatever it lacks needs no shuffle to be found missing."""
-    sieve = np.zeros(SIEVE_BITS >> 5, np.uint32)
-    for at, word in seen.select("piece").mapInArrow(_sieve_words, "at int, word long").groupBy("at").agg(F.bit_or("word")).toLocalIterator():
-        sieve[at] = word
-    return sieve
-
-
 def _images(sieve) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     return lambda batches: _garble(batches, sieve.value)
 
 
-def _garble(batches: Iterator[pa.RecordBatch], sieve: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _garble(batches: Iterator[pa.RecordBatch], sieve: Sieve) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s in range(0, b.num_rows, 2000):
             part = b.slice(s, 2000)
@@ -264,8 +243,7 @@ def _garble(batches: Iterator[pa.RecordBatch], sieve: np.ndarray) -> Iterator[pa
                 if _SURE.search(piece):
                     continue  # surely garbled itself
                 for form, (k, single, bits) in _garbled_pieces(piece).items():
-                    bit = _bit(piece[:2] + form)
-                    if not sieve[bit >> 5] >> (bit & 31) & 1:
+                    if text_key(piece[:2] + form) not in sieve:
                         continue
                     g.append(piece[:2] + form)
                     o.append(piece)
@@ -286,12 +264,12 @@ def garbled_table(vocabulary: DataFrame, looked_up: DataFrame) -> tuple[DataFram
     the values they are in to decide.
     """
     seen = written(looked_up.groupBy("piece", "s").agg(F.count("*").alias("n")).groupBy("piece").agg(F.sum("n").alias("n"), F.count("*").alias("n_s")), "seen")
-    sieve = seen.sparkSession.sparkContext.broadcast(_sieve(seen))
+    sieve = seen.sparkSession.sparkContext.broadcast(sieve_of_texts(seen.select("piece"), seen.count()))
     work = vocabulary.repartition(shuffle_width(seen.sparkSession))  # few bytes, much work
     images = work.mapInArrow(_images(sieve), "piece string, original string, original_n long, original_s long, steps int, one_byte boolean, chains long")
     commoner = F.expr("original_s > 2 * n_s or original_n > 2 * n and n_s <= 2 * original_s")
     rarer = F.expr("n_s > 2 * original_s or n > 2 * original_n")
-    hits = images.join(seen, "piece").withColumn("sure", F.when(F.col("one_byte"), commoner).when(F.col("piece").startswith("x:"), F.col("original_n") >= 2).otherwise(F.lit(True)))
+    hits = images.join(seen, "piece").withColumn("sure", F.when(F.col("one_byte"), commoner).when(F.col("piece").startswith("x:"), F.col("original_n") >= 2).when(F.col("piece").startswith("c:") & (F.length("piece") <= 5), commoner).otherwise(F.lit(True)))
     hits = written(hits.where((~F.col("one_byte") | (F.length("piece") > 3)) & (F.col("sure") | ~rarer)), "garbled")
     sure = hits.where("sure")
     clean = sure.join(sure.select(F.col("piece").alias("original")).distinct(), "original", "left_anti")
@@ -383,10 +361,10 @@ def restore(text: str, swaps: dict[str, str]) -> str:
             tok = "".join([*made, tok[last:]])
             made, i = [], 0
             while i < len(tok):
-                hit = next(((s, o) for s in (6, 4) if (o := swaps.get("c:" + tok[i : i + s])) and len(tok) - i >= s), None)
+                hit = next(((s, o) for s in reversed(WINDOWS) if (o := swaps.get("c:" + tok[i : i + s])) and len(tok) - i >= s), None)
                 if hit:  # a pair at a time; its second half may begin the next pair
                     step = hit[0] // 2
-                    nxt = swaps.get("c:" + tok[i + step : i + step + hit[0]])
+                    nxt = None if hit[0] % 2 else swaps.get("c:" + tok[i + step : i + step + hit[0]])
                     made.append(hit[1][2] if nxt else hit[1][2:])
                     i += step if nxt else hit[0]
                 else:

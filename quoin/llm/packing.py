@@ -1,10 +1,12 @@
 """Documents into containers of fixed capacity with as little unused space as possible.
 
 Sizes are whole tokens, so however many documents there are, they fall into at most ``capacity`` sizes: the packing is worked
-out on the histogram of sizes by bin completion. At each node the largest size left is put into a container and the
-undominated fillings around it are enumerated: fillings of no waste first, those of few large documents before those of many
-small ones. A filling is applied as often as the counts allow. Branches are pruned by the waste they have made and the least
-waste the rest must make (the bound of Martello and Toth) against the incumbent, at first the best-fit-decreasing packing.
+out on the histogram of sizes by bin completion. At each node the largest size left is put into a container and all
+undominated fillings around it are enumerated, by rising waste and, of one waste, those of few large documents before those of
+many small ones. A filling is applied as often as the counts allow, then half as often, down to once. Branches are pruned by
+the waste they have made and the least number of containers the rest needs (the bound of Martello and Toth) against the
+incumbent, at first the best-fit-decreasing packing. The search ends when the incumbent meets the bound of the whole, when all
+branches are done, or after ``max_nodes`` fillings or MAX_STEPS steps of enumeration; it then gives the incumbent.
 The result is a list of fillings with numbers of copies; the documents of each size are then dealt out to the places for that
 size by their rank among documents of the size, which is a running number in the task plus an offset of the task.
 """
@@ -12,8 +14,9 @@ size by their rank among documents of the size, which is a running number in the
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +26,10 @@ from pyspark.sql import functions as F
 from quoin.llm import bpe
 from quoin.runtime import ship, written
 
-#: Fillings applied or taken back before the search stops with its incumbent.
-MAX_NODES = 6_000
-#: Sums tried when a filling of no waste is looked for.
-MAX_SUMS = 400
-#: Fillings tried at one node.
-BRANCH = 3
+#: Fillings applied, and steps of enumerating them, before the search stops with its incumbent.
+MAX_NODES, MAX_STEPS = 50_000, 1_500_000
+#: The bound of the rest is worked out at every so many nodes, as it costs more than a filling.
+BOUND_EVERY = 16
 #: Greatest capacity: bounds the histogram on the driver.
 MAX_CAPACITY = 1 << 20
 
@@ -116,91 +117,72 @@ class _Stock:
                 self.mask &= ~(1 << s)
 
 
-def fillings(stock: _Stock, capacity: int, most: int = BRANCH) -> list[tuple[int, tuple]]:
-    """(waste, items): undominated fillings around the largest document, the least waste first."""
+class _Budget:
+    """Steps of enumeration that are left."""
+
+    def __init__(self, steps: int):
+        self.steps = steps
+
+
+def _exact(stock: _Stock, total: int, most: int, budget: _Budget) -> Iterator[tuple[int, ...]]:
+    """All multisets of the stock's sizes up to ``most`` that come to just ``total``, larger sizes first."""
+    if total == 0:
+        yield ()
+        return
+    a = stock.largest(min(total, most))
+    while a > 0 and budget.steps > 0:
+        budget.steps -= 1
+        if stock.counts[a] > 0:
+            stock.counts[a] -= 1  # lent while its completions are enumerated, but not while one is given out
+            for rest in _exact(stock, total - a, a, budget):
+                stock.counts[a] += 1
+                yield (a, *rest)
+                stock.counts[a] -= 1
+            stock.counts[a] += 1
+        a = stock.largest(a - 1)
+
+
+def dominated(stock: _Stock, big: int, rest: tuple[int, ...], waste: int) -> bool:
+    """Whether a document left over fits beside the filling's, or in place of one or two of them, which then are never needed."""
+    used = Counter(rest)
+    used[big] += 1
+    t = stock.largest(waste)
+    while t > 0:
+        if stock.counts[t] > used[t]:
+            return True
+        t = stock.largest(t - 1)
+    for i, x in enumerate(rest):
+        for s in (x, *(x + y for y in rest[i + 1 :])):
+            t = stock.largest(min(s + waste, len(stock.counts) - 2))
+            if t > x and t >= s and (t > s or s > x) and stock.counts[t] > used[t]:
+                return True
+    return False
+
+
+def fillings(stock: _Stock, capacity: int, most_waste: int | None = None, budget: _Budget | None = None) -> Iterator[tuple[int, tuple]]:
+    """(waste, items) of all undominated fillings around the largest document, by rising waste up to ``most_waste``."""
+    budget = budget or _Budget(MAX_STEPS)
     big = stock.largest(capacity)
-    each = min(stock.counts[big], capacity // big)
-    found: dict[tuple, int] = {}
-    for first in dict.fromkeys((each, 1)):
-        used = {big: first}
-        room = capacity - big * first
-        _complete(stock, used, room, found)
-        if any(w == 0 for w in found.values()) and len(found) >= most:
-            break
-    ranked = sorted(found.items(), key=lambda x: (x[1], len(x[0])))
-    keep: list[tuple[int, tuple]] = []
-    for items, waste in ranked:
-        if not any(_dominates(k, items) for _, k in keep):
-            keep.append((waste, items))
-    return keep[:most]
-
-
-def _dominates(a: tuple, b: tuple) -> bool:
-    """Whether b's documents fit one by one into places of a's: then b is never needed. A sufficient test, by order of size."""
-    x = [s for s, k in a for _ in range(k)]
-    y = [s for s, k in b for _ in range(k)]
-    return len(y) <= len(x) and all(q <= p for p, q in zip(x, y))
-
-
-def _complete(stock: _Stock, used: dict[int, int], room: int, found: dict[tuple, int]) -> None:
-    """Fill the room: large documents first, then look for one, two or three that leave nothing."""
-    counts, used = stock.counts, dict(used)
-    free = lambda s: s > 0 and counts[s] > used.get(s, 0)
-
-    def put(extra: tuple[int, ...], waste: int) -> None:
-        got = dict(used)
-        for s in extra:
-            got[s] = got.get(s, 0) + 1
-        if all(counts[s] >= k for s, k in got.items()):
-            found.setdefault(tuple(sorted(got.items(), reverse=True)), waste)
-
-    while True:
-        if room == 0:
-            put((), 0)
+    room = capacity - big
+    for waste in range(0, min(room, room if most_waste is None else most_waste) + 1):
+        stock.counts[big] -= 1
+        for rest in _exact(stock, room - waste, room, budget):
+            stock.counts[big] += 1
+            if not dominated(stock, big, rest, waste):
+                yield waste, tuple(sorted(Counter((big, *rest)).items(), reverse=True))
+            stock.counts[big] -= 1
+        stock.counts[big] += 1
+        if budget.steps <= 0:
             return
-        if free(room):
-            put((room,), 0)
-            return
-        tried, a, best = 0, stock.largest(room), None
-        while a > 0 and tried < MAX_SUMS:
-            if free(a):
-                rest = room - a
-                tried += 1
-                if rest <= a and free(rest):
-                    put((a, rest), 0)
-                    best = None
-                    if len(found) >= BRANCH:
-                        return
-                    break
-                b, inner = stock.largest(min(a, rest)), 0
-                while b > 0 and inner < 12 and tried < MAX_SUMS:
-                    tried += 1
-                    inner += 1
-                    if free(rest - b):
-                        put((a, b, rest - b), 0)
-                        break
-                    b = stock.largest(b - 1)
-            a = stock.largest(a - 1) if a > 1 else 0
-        if any(w == 0 for w in found.values()):
-            return
-        a = stock.largest(room)
-        while a > 0 and not free(a):
-            a = stock.largest(a - 1) if a > 1 else 0
-        if a <= 0:
-            put((), room)
-            return
-        k = min(counts[a] - used.get(a, 0), room // a)
-        used[a] = used.get(a, 0) + k
-        room -= k * a
 
 
 @dataclass
 class _Node:
-    options: list[tuple[int, tuple]]
-    at: int = 0
-    applied: tuple | None = None
+    options: Iterator[tuple[int, tuple]]
     waste: int = 0
-    done: list = field(default_factory=list)
+    now: tuple[int, tuple] | None = None
+    times: int = 0
+    applied: int = 0
 
 
 def bin_completion(counts: list[int], capacity: int, max_nodes: int = MAX_NODES) -> list[Filling]:
@@ -211,39 +193,45 @@ def bin_completion(counts: list[int], capacity: int, max_nodes: int = MAX_NODES)
         return []
     best = best_fit(counts, capacity)
     best_n, least = sum(f.copies for f in best), waste_bound(counts, capacity)
-    if best_n == least:
-        return best
-    stock, path, nodes = _Stock(counts), [], 0
-    stack = [_Node(fillings(stock, capacity))]
+    stock, path, nodes, budget = _Stock(counts), [], 0, _Budget(MAX_STEPS)
+    slack = lambda: (best_n - 1) * capacity - total  # noqa: E731  waste that a better packing may make
+    stack = [_Node(fillings(stock, capacity, slack(), budget))] if best_n > least else []
     while stack and nodes < max_nodes and best_n > least:
         node = stack[-1]
         if node.applied:  # take back what was tried before
-            stock.take(node.applied[0], -node.applied[1])
+            stock.take(node.now[1], -node.applied)
             path.pop()
-            node.applied = None
-        allowed = (best_n - 1) * capacity - total - sum(w for w, _ in node.done)
-        if node.at >= len(node.options) or node.options[node.at][0] > allowed - node.waste:
-            stack.pop()
-            continue
-        waste, items = node.options[node.at]
-        node.at += 1
+            node.applied, node.times = 0, node.times // 2
+        if not node.times:
+            node.now = next(node.options, None)
+            if node.now is None or node.now[0] + node.waste > slack():
+                stack.pop()
+                continue
+            waste, items = node.now
+            node.times = min(stock.counts[s] // k for s, k in items)
+            if waste:
+                node.times = max(1, min(node.times, (slack() - node.waste) // waste))
+        waste, items = node.now
         nodes += 1
-        times = min(stock.counts[s] // k for s, k in items)
-        if waste:
-            times = min(times, max(1, (allowed - node.waste) // waste))
-        stock.take(items, times)
-        node.applied = (items, times)
-        path.append(Filling(items, times))
+        node.applied = node.times
+        stock.take(items, node.times)
+        path.append(Filling(items, node.times))
+        made = node.waste + waste * node.times
+        # the last container may stay part empty without that being waste that could be saved
+        if stock.total and (made > slack() or nodes % BOUND_EVERY == 0 and sum(f.copies for f in path) + waste_bound(stock.counts, capacity) >= best_n):
+            continue
         if not stock.total:
             n = sum(f.copies for f in path)
             if n < best_n:
                 best, best_n = list(path), n
             continue
-        made = node.waste + waste * times
-        # the last container may stay part empty without being waste that could be saved
-        if made > (best_n - 1) * capacity - total:
+        if stock.total <= capacity:  # all that is left goes into one
+            n = sum(f.copies for f in path) + 1
+            if n < best_n:
+                rest = tuple((s, c) for s, c in enumerate(stock.counts) if c and s)
+                best, best_n = [*path, Filling(tuple(sorted(rest, reverse=True)), 1)], n
             continue
-        stack.append(_Node(fillings(stock, capacity), waste=made))
+        stack.append(_Node(fillings(stock, capacity, slack() - made, budget), waste=made))
     return best
 
 
@@ -362,7 +350,8 @@ def pack(docs: DataFrame, specs: DataFrame, id_col: str = "doc_id", text_col: st
                 out[rows] = container[i] + (rank[rows] - start[i]) // np.maximum(each[i], 1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out), b.column(4), b.column(5)], names=["doc_id", "spec", "rest", "container_id", "whole", "full"])
 
-    joined = items.join(offsets, ["spec", "rest", "task"], "left").join(full_offsets, ["spec", "task"], "left")
+    # the offsets grow with tasks times sizes, so they are shuffled to the documents and never broadcast
+    joined = items.join(offsets.hint("merge"), ["spec", "rest", "task"], "left").join(full_offsets.hint("merge"), ["spec", "task"], "left")
     ranked = joined.select("doc_id", F.col("spec").cast("int").alias("spec"), "rest", (F.coalesce("base", F.lit(0)) + F.col("rank")).alias("rank"), F.col("whole").cast("long").alias("whole"), (F.coalesce("full_base", F.lit(0)) + F.col("full")).cast("long").alias("full"))
     packed = ranked.mapInArrow(deal, f"doc_id {kind}, spec int, rest long, container_id long, whole long, full long")
     cap = F.element_at(F.array(*[F.lit(c).cast("long") for _, _, c in wanted] or [F.lit(1).cast("long")]), F.col("spec") + 1)

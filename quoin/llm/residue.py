@@ -17,12 +17,11 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.llm.mojibake import _bit, _sieve
+from quoin.llm.sieve import Sieve, sieve_of_texts, text_key
 from quoin.runtime import scratch_path, ship, written
 
 #: Bounds of the fitting sample: trusted phrases by their spread, unlabelled values in the order of a hash. Matching has all phrases.
@@ -143,7 +142,7 @@ class Model:
     odds: dict[str, float] = field(default_factory=dict)
     phrases: set[str] = field(default_factory=set)
     idioms: set[tuple[str, str, str]] = field(default_factory=set)  # settings of these words that recur: they belong there
-    sieve: np.ndarray | None = None  # of all trusted phrases, where they are more than the fitting sample holds
+    sieve: Sieve | None = None  # of all trusted phrases, where they are more than the fitting sample holds
     path: str | None = None  # the table of these phrases
     asked: set[str] = field(default_factory=set)  # runs of words that passed the sieve
 
@@ -213,7 +212,7 @@ def _speaks(m: Model, toks: list[str], whole: bool) -> bool:
     run = " ".join(toks)
     if run in m.phrases:
         return True
-    if m.sieve is not None and m.sieve[(bit := _bit(run)) >> 5] >> (bit & 31) & 1:
+    if m.sieve is not None and text_key(run) in m.sieve:
         m.asked.add(run)
     got = [m.odds.get("w:" + t, 0.0) for t in toks]
     strong = sum(g > 1.0 for g in got)
@@ -344,7 +343,8 @@ def learn(rows: DataFrame, source_col: str = "sourceId", title_col: str = "title
     if spread.count() > TRUSTED_MAX:
         m.path = scratch_path(rows.sparkSession, "phrases")
         spread.select("t").mapInArrow(_phrases, "phrase string").distinct().write.parquet(m.path)
-        m.sieve = _sieve(rows.sparkSession.read.schema("phrase string").parquet(m.path).withColumnRenamed("phrase", "piece"))
+        stored = rows.sparkSession.read.schema("phrase string").parquet(m.path)
+        m.sieve = sieve_of_texts(stored, stored.count())
     return m
 
 

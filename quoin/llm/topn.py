@@ -1,9 +1,11 @@
 """Top N rows of every group by a merge of sorted runs.
 
-Every input partition is sorted by (group, score, ties) and cut to N rows a group: one *run*. The runs are bucketed by a
-hash of the group, and each bucket's runs are merged by a loser tree that jumps every run to its next group as soon as N
-rows of a group are out. A pass merges at most ``fan_in`` runs a task, so any number of runs is merged in
-ceil(log_fan_in(runs)) passes. A hot group costs no more than any other: each run holds at most N of its rows.
+Every input partition is sorted by (group, score, ties) and cut to N rows a group: one *run*, which is stored with the number
+of rows that its group still has from each row on. The runs are bucketed by a hash of the group, so many buckets that a merge
+holds about ``BUCKET_ROWS`` rows however large the table is, and each bucket's runs are merged by a loser tree. As soon as N
+rows of a group are out, every run seeks to its next group by the stored number, without looking at the rows between. A pass
+merges at most ``fan_in`` runs at a time, so any number of runs is merged in ceil(log_fan_in(runs)) passes. A hot group costs
+no more than any other: each run holds at most N of its rows.
 """
 
 from __future__ import annotations
@@ -12,15 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quoin.runtime import partitions_of, ship, shuffle_width
+from quoin.runtime import partitions_of, ship, shuffle_width, written
 
-RUN, POS, BUCKET = "__run", "__pos", "__bucket"
+RUN, POS, LEFT, BUCKET = "__run", "__pos", "__left", "__bucket"
 FAN_IN = 64
+#: Rows of all runs that a merge holds, about: the number of buckets follows from it.
+BUCKET_ROWS = 20_000
 
 
 class LoserTree:
@@ -68,33 +71,45 @@ class LoserTree:
         self.tree[0] = winner
 
 
-def merge_runs(runs: list[list[tuple]], n: int) -> Iterator[tuple]:
-    """Merge sorted runs of (group, *rest) tuples; at most n tuples a group come out, in order."""
-    runs = [r for r in runs if r]
+class Run:
+    """A sorted run from row ``at`` to row ``end`` of columns; rows are made when they are looked at."""
+
+    def __init__(self, cols: list, left, at: int, end: int):
+        self.cols, self.left, self.at, self.end, self.looked_at = cols, left, at, end, 0
+
+    def key(self) -> tuple | None:
+        if self.at >= self.end:
+            return None
+        self.looked_at += 1
+        return tuple(c[self.at] for c in self.cols)
+
+    def seek(self) -> None:
+        """On to the first row of the next group."""
+        self.at += self.left[self.at]
+
+
+def merge_runs(runs: list[Run], n: int) -> Iterator[int]:
+    """Merge sorted runs whose first column is the group: the numbers of at most n rows a group, in order."""
     if not runs:
         return
-    ends = []
-    for r in runs:  # where the group of each row ends: the seek target
-        e, end = [0] * len(r), len(r)
-        for i in range(len(r) - 1, -1, -1):
-            if i + 1 < len(r) and r[i + 1][0] != r[i][0]:
-                end = i + 1
-            e[i] = end
-        ends.append(e)
-    at = [0] * len(runs)
-    tree = LoserTree([r[0] for r in runs])
+    tree = LoserTree([r.key() for r in runs])
     group, out = object(), 0
-    while tree.keys[w := tree.winner] is not None:
-        row = runs[w][at[w]]
-        if row[0] != group:
-            group, out = row[0], 0
+    while (key := tree.keys[w := tree.winner]) is not None:
+        if key[0] != group:
+            group, out = key[0], 0
         if out < n:
-            yield row
+            yield runs[w].at
             out += 1
-            at[w] += 1
+            runs[w].at += 1
         else:
-            at[w] = ends[w][at[w]]
-        tree.advance(runs[w][at[w]] if at[w] < len(runs[w]) else None)
+            runs[w].seek()
+        tree.advance(runs[w].key())
+
+
+def _left(codes: np.ndarray) -> np.ndarray:
+    """How many rows each row's group still has, itself included, in a sorted column."""
+    new = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    return np.repeat(np.r_[new[1:], len(codes)], np.diff(np.r_[new, len(codes)])) - np.arange(len(codes))
 
 
 def _cut(n: int, out_schema: pa.Schema):
@@ -116,8 +131,10 @@ def _cut(n: int, out_schema: pa.Schema):
                 stop = new[1] if len(new) > 1 else len(codes)
                 rank[:stop] += seen
             last, seen = g.dictionary[int(codes[-1])].as_py(), int(rank[-1]) + 1
-            t = b.filter(pa.array(rank < n))
-            cols = [*t.columns, pa.array(np.full(t.num_rows, run_no, np.int32)), pa.array(np.arange(pos, pos + t.num_rows, dtype=np.int64))]
+            keep = rank < n
+            t = b.filter(pa.array(keep))
+            # a group that goes on in the next batch has two numbers in turn: a seek then takes two steps
+            cols = [*t.columns, pa.array(np.full(t.num_rows, run_no, np.int32)), pa.array(np.arange(pos, pos + t.num_rows, dtype=np.int64)), pa.array(_left(codes[keep]).astype(np.int32))]
             pos += t.num_rows
             yield pa.RecordBatch.from_arrays(cols, schema=out_schema)
 
@@ -130,16 +147,16 @@ def _merge(n: int, fan: int, width: int, out_schema: pa.Schema):
     def emit(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts).combine_chunks()
         runs_at = np.asarray(t.column(width))
-        cols = [t.column(i).to_pylist() for i in range(width)]
-        rows = list(zip(*_ordered(cols)))
+        cols = _ordered([t.column(i).to_pylist() for i in range(width)])
+        left = t.column(width + 2).to_pylist()
         new = np.flatnonzero(np.r_[True, runs_at[1:] != runs_at[:-1]]).tolist()
-        runs = [[(*r, i) for i, r in enumerate(rows[a:b], a)] for a, b in zip(new, [*new[1:], len(rows)])]
-        take = pa.array([r[-1] for r in merge_runs(runs, n)], pa.int64())
+        take = pa.array(list(merge_runs([Run(cols, left, a, z) for a, z in zip(new, [*new[1:], len(left)])], n)), pa.int64())
         got = t.take(take)
-        cols = [got.column(i).combine_chunks() for i in range(width)]
-        cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
-        cols += [pa.array(np.full(got.num_rows, int(runs_at[0]) // fan, np.int32)), pa.array(np.arange(got.num_rows, dtype=np.int64))]
-        yield pa.RecordBatch.from_arrays(cols, schema=out_schema)
+        out = [got.column(i).combine_chunks() for i in range(width)]
+        out = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in out]
+        groups = np.asarray(out[0].dictionary_encode().indices) if got.num_rows else np.zeros(0, np.int64)
+        out += [pa.array(np.full(got.num_rows, int(runs_at[0]) // fan, np.int32)), pa.array(np.arange(got.num_rows, dtype=np.int64)), pa.array(_left(groups).astype(np.int32) if got.num_rows else np.zeros(0, np.int32))]
+        yield pa.RecordBatch.from_arrays(out, schema=out_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -147,7 +164,7 @@ def _merge(n: int, fan: int, width: int, out_schema: pa.Schema):
         for b in batches:
             if not b.num_rows:
                 continue
-            key = np.asarray(b.column(width + 2)).astype(np.int64) * (1 << 32) + np.asarray(b.column(width)) // fan
+            key = np.asarray(b.column(width + 3)).astype(np.int64) * (1 << 32) + np.asarray(b.column(width)) // fan
             cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
             for a, z in zip(cuts, cuts[1:]):
                 if held and key[a] != last:
@@ -180,18 +197,18 @@ def top_n(df: DataFrame, group: str, score: str, ties: list[str], n: int, fan_in
     names = [group, score, *ties]
     kept = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).where("c0 is not null and c1 is not null")
     order = [F.col("c0").asc(), F.col("c1").desc(), *[F.col(f"c{i}").asc_nulls_last() for i in range(2, len(names))]]
-    schema = T.StructType([*kept.schema.fields, T.StructField(RUN, T.IntegerType()), T.StructField(POS, T.LongType())])
+    schema = T.StructType([*kept.schema.fields, T.StructField(RUN, T.IntegerType()), T.StructField(POS, T.LongType()), T.StructField(LEFT, T.IntegerType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
-    runs = kept.sortWithinPartitions(*order).mapInArrow(_cut(max(n, 0), arrow), schema)
-    left, width, buckets = partitions_of(kept), len(names), shuffle_width(spark)
+    runs = written(kept.sortWithinPartitions(*order).mapInArrow(_cut(max(n, 0), arrow), schema), "runs")
+    left, width, tasks = partitions_of(kept), len(names), shuffle_width(spark)
+    buckets = max(tasks, -(-runs.count() // BUCKET_ROWS))
     while True:
-        runs = runs.withColumn(BUCKET, F.pmod(F.xxhash64("c0"), F.lit(1 << 20)).cast("int"))
-        # the group's bucket and the group of runs it is merged in: no task gets more than fan_in runs of a bucket
-        key = F.pmod(F.xxhash64(F.col(BUCKET) % F.lit(buckets * 4), F.floor(F.col(RUN) / fan_in)), F.lit(1 << 30))
-        runs = runs.withColumn(BUCKET, F.col(BUCKET) % F.lit(buckets * 4))
-        runs = runs.repartition(buckets, key).sortWithinPartitions(BUCKET, F.floor(F.col(RUN) / fan_in), RUN, POS)
+        runs = runs.withColumn(BUCKET, F.pmod(F.xxhash64("c0"), F.lit(buckets)).cast("int"))
+        # a merge is of one bucket and of fan_in runs at most
+        key = F.pmod(F.xxhash64(BUCKET, F.floor(F.col(RUN) / fan_in)), F.lit(1 << 30))
+        runs = runs.repartition(tasks, key).sortWithinPartitions(BUCKET, F.floor(F.col(RUN) / fan_in), RUN, POS)
         runs = runs.mapInArrow(_merge(max(n, 0), fan_in, width, arrow), schema)
         left = -(-left // fan_in)
         if left <= 1:

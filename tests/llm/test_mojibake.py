@@ -62,3 +62,17 @@ def test_a_hot_source_and_rare_words(spark):
     want = {(i, "title") for i in (*range(100, 130), 300)}
     assert set(map(tuple, garbled_values(df).collect())) == want
     assert {r.restored for r in restored_values(df).collect()} == {text, rare}
+
+
+def test_long_words_and_unspaced_texts(spark):
+    long_word = "сверхвысокоэнергоэффективнейшегодомостроения"
+    japanese = "古い倉庫を改修した図書館が水辺に開館し市民の新しい集いの場になる" * 3
+    clean = [(i, f"s{i}", f"{long_word} и театр", japanese) for i in range(5)] + [(10 + i, f"s{i}", "A plain hall", japanese[i * 3 :]) for i in range(8)]
+    bad = [(100, "s1", f"{long_word.encode().decode('cp1252', 'replace')} x", None)]
+    assert len(bad[0][2]) > 80
+    for i, codec in enumerate(("latin-1", "cp437", "cp866", "mac_roman", "cp850"), 101):
+        bad.append((i, "s1", None, japanese[5:40].encode().decode(codec, "replace")))
+    df = spark.createDataFrame(clean + bad, "row_id long, sourceId string, title string, excerpt string")
+    assert set(map(tuple, garbled_values(df).collect())) == {(100, "title"), *((i, "excerpt") for i in range(101, 106))}
+    got = {r.row_id: r.restored for r in restored_values(df).collect()}
+    assert got[102] == japanese[5:40] and got[103] == japanese[5:40]

@@ -60,9 +60,27 @@ def test_completion_beats_best_fit():
     assert sum(f.copies for f in bin_completion(c, 10)) == 8 == waste_bound(c, 10)
 
 
-def test_fillings_start_with_no_waste():
-    got = fillings(_Stock(histogram([7, 3, 2, 1, 5], 10)), 10)
-    assert got[0] == (0, ((7, 1), (3, 1)))
+def test_all_undominated_fillings():
+    got = list(fillings(_Stock(histogram([7, 3, 2, 1, 5], 10)), 10))
+    assert got == [(0, ((7, 1), (3, 1)))]  # 2 + 1 and less leave room that 3 fills
+    stock = _Stock(histogram([6, 4, 3, 3, 1, 1], 10))
+    before = list(stock.counts)
+    assert [w for w, _ in fillings(stock, 10)] == [0] and stock.counts == before
+    rng = random.Random(6)
+    for _ in range(40):  # a best packing is among the undominated fillings
+        sizes = [rng.randint(1, 9) for _ in range(6)]
+        stock = _Stock(histogram(sizes, 10))
+        big, found = max(sizes), [items for _, items in fillings(stock, 10)]
+        rest = [optimum(_without(sizes, items), 10) for items in found]
+        assert found and all(items[0][0] == big for items in found) and 1 + min(rest) == optimum(sizes, 10)
+
+
+def _without(sizes, items):
+    left = sorted(sizes)
+    for s, k in items:
+        for _ in range(k):
+            left.remove(s)
+    return left
 
 
 def test_places_number_every_document():

@@ -1,6 +1,6 @@
 import random
 
-from quoin.llm.topn import LoserTree, merge_runs, top_n
+from quoin.llm.topn import LoserTree, Run, merge_runs, top_n
 
 SCHEMA = "sourceId string, timestamp long, id string, row_id long, c0 string"
 
@@ -27,9 +27,35 @@ def test_loser_tree_sorts():
         assert got == sorted(sum(runs, []))
 
 
+def as_runs(lists):
+    rows = [r for x in lists for r in sorted(x)]
+    cols = [list(c) for c in zip(*rows)]
+    out, at = [], 0
+    left = [sum(1 for r in x if r[0] == g) - i for x in lists for g in sorted({r[0] for r in x}) for i in range(sum(1 for r in x if r[0] == g))]
+    for x in lists:
+        out.append(Run(cols, left, at, at + len(x)))
+        at += len(x)
+    return out, rows
+
+
 def test_merge_seeks_after_n():
-    runs = [[("a", i) for i in range(0, 9, 2)] + [("b", 1)], [("a", i) for i in range(1, 9, 2)], []]
-    assert list(merge_runs(runs, 3)) == [("a", 0), ("a", 1), ("a", 2), ("b", 1)]
+    runs, rows = as_runs([[("a", i) for i in range(0, 900, 2)] + [("b", 1)], [("a", i) for i in range(1, 900, 2)], []])
+    assert [rows[i] for i in merge_runs(runs, 3)] == [("a", 0), ("a", 1), ("a", 2), ("b", 1)]
+    assert sum(r.looked_at for r in runs) < 12  # the rest of the groups was sought over
+
+
+def test_merges_are_bounded(spark, monkeypatch):
+    """Ten times the groups make more merges, not larger ones."""
+    from quoin.llm import topn
+
+    monkeypatch.setattr(topn, "BUCKET_ROWS", 50)
+    largest = []
+    for groups in (40, 400):
+        df = spark.range(groups * 5).selectExpr(f"concat('g', id % {groups}) as g", "id as s", "id as t").repartition(3)
+        assert top_n(df, "g", "s", ["t"], 4).count() == groups * 4
+        buckets = max(4, -(-groups * 5 // 50))
+        largest.append(df.selectExpr(f"pmod(xxhash64(g), {buckets}) as b").groupBy("b").count().agg({"count": "max"}).first()[0])
+    assert largest[1] <= 3 * 50 and largest[0] <= 3 * 50
 
 
 def test_against_brute_force(spark):
