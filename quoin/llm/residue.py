@@ -1,12 +1,14 @@
 """Template residue, filler, error pages and script notices in place of text or within it.
 
-Positive-unlabelled naive Bayes. Trusted records come from the corpus itself: titles that recur word for word at several
-publishers (a title names its story, so what many share is none), values made of placeholders only,
-and the standard's own reason phrases. Everything else is unlabelled. Expectation-maximisation fits token log-odds on a
-bounded sample: passages like the trusted ones lose their weight among the negatives and gain it among the positives. A value
-is scored by passages: placeholder spans, sentences and parts between bars and dashes, and the beginnings and ends of
-sentences that an error text was glued to. The record is decided by its passages: one that is residue for the greater part
-of its words makes the value a case, one that merely mentions such words among others does not.
+Positive-unlabelled naive Bayes. Trusted records come from the corpus itself: what stands as the whole title of one story and
+as the whole excerpt of another, at several publishers, names no story and tells of none; and values made of placeholders
+only. Beside them stand the numbered reason phrases of the HTTP standard, the classic filler passage, one example of each
+kind of placeholder and the printed missing values. Everything else is unlabelled. Expectation-maximisation fits log-odds of
+features on a bounded sample: words, whole phrases, marks and parts of placeholders, printed missing values; passages like
+the trusted ones lose their weight among the negatives and gain it among the positives. A value is scored by passages:
+placeholder spans, sentences and parts between bars and dashes, and the beginnings and ends of sentences that an error text
+was glued to. The record is decided by its passages: one that is residue for the greater part of its words makes the value a
+case, one that merely mentions such words among others does not. Nothing is a case but by the fitted weights.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from http import HTTPStatus
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.llm.sieve import Sieve, sieve_of_texts, text_key
@@ -26,35 +29,32 @@ from quoin.runtime import scratch_path, ship, written
 
 #: Bounds of the fitting sample: trusted phrases by their spread, unlabelled values in the order of a hash. Matching has all phrases.
 TRUSTED_MAX, UNLABELLED_MAX = 5_000, 20_000
-#: A phrase is trusted to be no text of its own with this share of all publishers, but so many at least, two of which at least have it
-#: for a title; with the smaller share if some publisher has it for no title, as a title of a story stands at its publishers as one.
-SPREAD, SPREAD_SHARE, MIXED_SHARE = 4, 0.001, 0.0001
+#: Publishers that must have a phrase as a whole title or a whole excerpt, for it to be trusted to be neither.
+SPREAD = 3
+#: What one standard record of a kind counts for among the trusted ones, as a share of them and at least.
+STANDARD_SHARE, STANDARD_LEAST = 0.02, 3.0
 ROUNDS = 6
 #: A setting of a printed missing value is an idiom with this share of the word's distinct values, and of its sources, and so many at least.
 IDIOM_SHARE, IDIOM_LEAST = 0.25, 3
-#: Rates below this tell nothing.
-FLOOR = 2e-4
+#: Rates below this tell nothing; a whole phrase is more telling than a word.
+FLOOR, PHRASE_FLOOR = 2e-4, 1e-6
+#: Log-odds that a printed missing value or a placeholder must have.
+LEAST_SPAN = 2.0
 #: Log-odds of a passage and share of its words that must speak for residue.
 LEAST_ODDS, LEAST_SHARE = 4.0, 0.5
 
-#: Reason phrases of the HTTP standard, what servers and browsers commonly print, and the usual filler: fixed values.
-REASONS = (
-    "400 Bad Request", "401 Unauthorized", "403 Forbidden", "404 Not Found", "408 Request Timeout", "410 Gone", "429 Too Many Requests", "500 Internal Server Error", "502 Bad Gateway", "503 Service Unavailable",
-    "504 Gateway Timeout", "504 Gateway Time-out", "Error 404", "HTTP Error 500", "Page not found", "Access denied", "Request timed out", "Connection refused", "Service unavailable", "An error occurred",
-    "Fatal error: Uncaught TypeError", "Error establishing a database connection", "This content is temporarily unavailable", "The site is down for scheduled maintenance", "Sorry, this page does not exist",
-    "The server encountered an internal error and was unable to complete your request", "The page you requested could not be found", "Please try again later", "Reload the page or come back later", "Your session has expired",
-    "Please enable JavaScript to view this page", "Enable JavaScript and cookies to continue", "JavaScript is disabled in your browser", "You need to enable JavaScript to run this app", "This site requires JavaScript",
-    "Your browser does not support scripts", "Checking your browser before you continue", "Just a moment", "Verify you are human",
+#: Reason phrases of the HTTP standard with their numbers, from the standard library's table.
+REASONS = tuple(f"{s.value} {s.phrase}" for s in HTTPStatus if s.value >= 400)
+#: The classic filler passage and printed missing values: fixed values.
+FILLER = (
     "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua", "ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat",
-    "duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur", "Placeholder text", "Placeholder title", "Sample text", "This is a sample text", "This is a sample title", "We can’t find that page", "noscript: this page cannot load without scripts", "Dummy text", "Dummy text do not publish",
-    "Insert text here", "Your text here", "Title goes here", "Click to edit the text", "Enter your title here", "No title", "Untitled document",
-    "Seite nicht gefunden", "Zugriff verweigert", "Bitte aktivieren Sie JavaScript, um diese Seite zu nutzen", "Die angeforderte Seite ist leider nicht verfügbar", "Hier steht Ihr Text", "Platzhaltertext", "Blindtext",
-    "Page introuvable", "Accès refusé", "Veuillez activer JavaScript pour afficher cette page", "Texte à remplacer", "Insérez votre texte ici", "Página no encontrada", "Acceso denegado", "Active JavaScript para ver este contenido",
-    "No se ha encontrado la página solicitada", "Escriba aquí su texto", "Página não encontrada", "Acesso negado", "Ative o JavaScript para continuar", "Escreva aqui o seu texto", "Pagina non trovata", "Accesso negato",
-    "Per visualizzare la pagina è necessario attivare JavaScript", "Inserire qui il testo", "Pagina niet gevonden", "Toegang geweigerd", "Schakel JavaScript in om verder te gaan", "Voer hier uw tekst in", "Sidan kunde inte hittas",
-    "Åtkomst nekad", "Aktivera JavaScript för att fortsätta", "Skriv din text här", "Nie znaleziono strony", "Odmowa dostępu", "Włącz obsługę JavaScript, aby zobaczyć tę stronę", "Wpisz tutaj tekst", "Страница не найдена",
-    "Доступ запрещён", "Для просмотра страницы включите JavaScript", "Введите текст", "Сторінку не знайдено", "Доступ заборонено", "Увімкніть JavaScript, щоб переглянути сторінку", "Введіть текст", "ページが見つかりません",
-    "アクセスが拒否されました", "このページを表示するにはJavaScriptを有効にしてください", "ここに本文を入力してください",
+    "duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur", "Lorem ipsum",
+)
+PRINTED = ("undefined", "null", "NaN", "None", "nil", "N/A", "untitled", "no title", "(null)", "(none)", "(no title)", "(no title set)")
+#: One example of each kind of placeholder, as template languages document them: fixed values.
+EXAMPLES = (
+    "{{{title}}}", "{{ title }}", "{% title %}", "{!! title !!}", "${title}", "{$title}", "<%= title %>", "<?= title ?>", "%%TITLE%%", "[[title]]", "[% title %]", "*|TITLE|*", "##TITLE##", "__TITLE__", "%(title)s", "@Model.Title", "[object Object]",
+    "#{title}", "%s", "{# title #}",
 )
 
 #: Kinds of placeholders: sure ones by their marks alone, and those whose content must tell. Fixed patterns of public template languages.
@@ -66,9 +66,8 @@ SURE = (
 ASK = (("{", r"(?<![{$#%])\{(?![{%$#!])[^{}\s]{1,60}\}(?!\})"), ("[", r"(?<!\[)\[(?!\[)[\w.]{1,60}\](?!\])"), ("<", r"<[a-z_][\w.-]{1,40}>"), ("%", r"(?<![\w%])%[A-Z_]{3,40}%"), ("bare", r"(?<![\w.])(?:[A-Z]{2,}(?:_[A-Z]+)+|[a-z]{2,}(?:_[a-z]+)+)(?![\w.])"))
 _SPAN = re.compile("|".join(f"(?P<s{i}>{rx})" for i, (_, rx) in enumerate((*SURE, *ASK))))
 _INNER = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-#: Printed missing values; one alone within a sentence may be a word of it, so there two must stand together.
+#: Printed missing values that may be a phrase of their own.
 _MISSING = re.compile(r"(?:undefined|null|nan|none|nil|n/a|\(null\)|\(none\)|\(no \w+(?: set)?\)|untitled|no title)", re.I)
-_MISSING_PAIR = re.compile(r"(?<![\w“‘'\"])(undefined|null|NaN|None)(?:\s*[|,/–-]\s*|\s+)(undefined|null|NaN|None)(?!\w)")
 #: One printed missing value with the words beside it.
 _MISSING_ONE = re.compile(r"(?:(\S+)\s+)?(?<![\w“‘'\"])(undefined|null|NaN)(?![\w”’'\"])(?:\s+(\S+))?")
 #: None with a capital where no sentence begins, or as a heading.
@@ -153,31 +152,56 @@ def _telling(w: list[str]) -> bool:
 
 
 def _odds(pos: Counter, n_pos: float, neg: Counter, n_neg: float) -> dict[str, float]:
-    return {t: math.log((pos[t] / max(n_pos, 1) + FLOOR) / (neg[t] / max(n_neg, 1) + FLOOR)) for t in {*pos, *neg}}
+    floor = lambda t: PHRASE_FLOOR if t[0] == "p" else FLOOR
+    return {t: math.log((pos[t] / max(n_pos, 1) + floor(t)) / (neg[t] / max(n_neg, 1) + floor(t))) for t in {*pos, *neg}}
+
+
+def printed(text: str) -> list[tuple[str, tuple[str, str, str]]]:
+    """(feature, setting) of every printed missing value within a text."""
+    if not _MAY_MISS.search(text):
+        return []
+    out = [("x:" + m[2], setting(*m.groups())) for m in _MISSING_ONE.finditer(text)]
+    return out + [("x:None", ("", "None", ""))] * bool(_NONE.search(text))
+
+
+def features(part: str, phrases: set[str], idioms: set) -> set[str]:
+    """Features of a passage: its words, itself if it is a trusted phrase, and its printed missing values but for idioms."""
+    w = words(part)
+    out = {"w:" + t for t in w} | {x for x, at in printed(part) if at not in idioms}
+    whole = " ".join(w)
+    return out | {"p:" + whole} if whole in phrases else out
 
 
-def fit(trusted: list[tuple[str, int]], placeholders: list[str], unlabelled: list[str], rounds: int = ROUNDS) -> Model:
+def fit(trusted: list[tuple[str, int]], placeholders: list[str], unlabelled: list[str], rounds: int = ROUNDS, idioms: set[tuple[str, str, str]] = frozenset()) -> Model:
     """Naive Bayes from trusted phrases (with weights), placeholder values and unlabelled values, by expectation-maximisation."""
-    m = Model()
-    known = [(words(t), min(n, 5)) for t, n in trusted] + [(words(t), 3) for t in REASONS]
-    m.phrases = {" ".join(w) for w, _ in known if _telling(w)}
+    m = Model(idioms=set(idioms))
+    known = [(words(t), float(min(n, 5))) for t, n in trusted]
+    standard = [words(t) for t in (*REASONS, *FILLER, *PRINTED)]
+    m.phrases = {" ".join(w) for w in (*(w for w, _ in known), *standard) if _telling(w)}
     sure_pos: Counter[str] = Counter()
     n_sure = 0.0
-    for w, k in known:
-        for t in set(w):
-            sure_pos["w:" + t] += k
+    for w, k in [*known, *((w, STANDARD_LEAST) for w in standard)]:
+        for t in {"w:" + t for t in w} | {"p:" + " ".join(w)}:
+            sure_pos[t] += k
         n_sure += k
     for text in placeholders:
         for kind, content, *_ in spans(text):
             for f in set(span_features(kind, content)):
                 sure_pos[f] += 1
             n_sure += 1
+    each = max(STANDARD_LEAST, STANDARD_SHARE * n_sure)
+    for text in EXAMPLES:
+        for kind, content, *_ in spans(text):
+            for f in set(span_features(kind, content)):
+                sure_pos[f] += each
+    for x in ("undefined", "null", "NaN", "None"):
+        sure_pos["x:" + x] += each
     bags: list[set[str]] = []
     for text in unlabelled:
-        for part in parts(text):
-            bags.append({"w:" + t for t in words(part)})
+        bags += [features(part, m.phrases, m.idioms) for part in parts(text)]
         bags += [set(span_features(k, c)) for k, c, *_ in spans(text)]
     bags = [b for b in bags if b]
+    sure_marks = {"m:" + k for k in _SURE_KINDS}
     weight = [0.0] * len(bags)
     for _ in range(max(1, rounds)):
         pos, neg, n_pos, n_neg = Counter(sure_pos), Counter(), n_sure, 0.0
@@ -194,7 +218,7 @@ def fit(trusted: list[tuple[str, int]], placeholders: list[str], unlabelled: lis
         for b in bags:
             strong = [t for t in b if m.odds.get(t, 0.0) > 1.0]
             z = prior + sum(m.odds.get(t, 0.0) for t in b)
-            new.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if len(strong) * 2 >= len(b) and (len(strong) >= 2 or b & {"m:" + k for k in _SURE_KINDS}) else 0.0)
+            new.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if len(strong) * 2 >= len(b) and (len(strong) >= 2 or b & sure_marks) else 0.0)
         if max((abs(x - y) for x, y in zip(new, weight)), default=0.0) < 1e-3:
             break
         weight = new
@@ -206,11 +230,11 @@ def parts(text: str) -> list[str]:
 
 
 def _speaks(m: Model, toks: list[str], whole: bool) -> bool:
-    """Whether a run of words is residue: a trusted phrase, or by its odds and for the greater part of its words."""
+    """Whether a run of words is residue, by the odds of the whole phrase, or by its words' and for the greater part of them."""
     if not toks:
         return False
     run = " ".join(toks)
-    if run in m.phrases:
+    if m.odds.get("p:" + run, 0.0) >= LEAST_ODDS and _telling(toks):
         return True
     if m.sieve is not None and text_key(run) in m.sieve:
         m.asked.add(run)
@@ -231,26 +255,23 @@ def residue(m: Model, text: str | None) -> bool:
     """Whether a value consists of residue or contains some."""
     if not text or not text.strip():
         return False
-    if len(text) < 60 and _MISSING.fullmatch(text.strip(" -–|.!…")):
+    odds = m.odds
+    if any(odds.get(x, 0.0) >= LEAST_SPAN and at not in m.idioms for x, at in printed(text)):
         return True
-    if _MAY_MISS.search(text):
-        if _MISSING_PAIR.search(text):
-            return True
-        if any(setting(*one.groups()) not in m.idioms for one in _MISSING_ONE.finditer(text)) or _NONE.search(text):
-            return True
     for kind, content, a, b in spans(text) if _MAY_SPAN.search(text) else ():
-        if kind in _SURE_KINDS and kind != "[[" or kind == "[[" and re.search(r"\w", content):
-            return True
         f = span_features(kind, content)
-        inner = [m.odds.get(x, 0.0) for x in f if x[0] in "ih"]
+        inner = [odds.get(x, 0.0) for x in f if x[0] in "ih"]
+        if kind in _SURE_KINDS:
+            if odds.get("m:" + kind, 0.0) + max(0.0, sum(inner) / max(1, len(inner))) >= LEAST_SPAN and (kind != "[[" or re.search(r"\w", content)):
+                return True
+            continue
         alone = not re.search(r"\w", text[:a] + text[b:])
         if kind == "bare":
             # a name with underscores is a key when all of its words are words of keys
             if inner and min(inner) > 0.5 and (alone or text[a:b].isupper() or min(inner) > 2.0):
                 return True
-        elif inner and (sum(inner) / len(inner) > 1.0 and max(inner) > 2.0 or "h:figure" in f and alone or {"h:upper", "h:snake"} <= {*f} or {"h:path"} & {*f} and max(inner) > 1.0):
+        elif inner and max(inner) > 0.5 and (sum(inner) / len(inner) > 1.0 and max(inner) > 2.0 or "h:figure" in f and alone or {"h:upper", "h:snake"} <= {*f} or {"h:path"} & {*f} and max(inner) > 1.0):
             return True
-    odds = m.odds
     toks = words(text)
     if _speaks(m, toks, True):
         return True
@@ -315,31 +336,41 @@ def idioms(rows: DataFrame, source_col: str, fields: tuple[str, ...]) -> set[tup
 
 
 def learn(rows: DataFrame, source_col: str = "sourceId", title_col: str = "title", fields: tuple[str, ...] = ("title", "excerpt"), id_col: str = "row_id") -> Model:
-    """Trusted records counted over all rows, then the model fitted on a bounded sample."""
+    """Trusted records counted over all rows, then the model fitted on a bounded sample.
+
+    One pass counts phrases (by a hash, each text once a source) and values, one takes the samples, one looks for idioms. The
+    sample is what comes first by a hash of the row and the value itself, so it does not depend on how the rows are stored.
+    """
     ship(rows.sparkSession)
     col = lambda c: F.col(f"`{c}`")
     fold = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), r"\d+", "0"))
-    stacked = rows.select(F.explode(F.array(*[F.struct(F.lit(f == title_col).alias("is_title"), col(f).alias("t")) for f in fields])).alias("x"), col(source_col).alias("s"))
-    keyed = stacked.where("s is not null and length(x.t) <= 200").select(fold(F.col("x.t")).alias("key"), "x.is_title", "x.t", "s").where("key <> ''")
-    once = keyed.groupBy("key", "s").agg(F.max("is_title").alias("is_title"), F.min("t").alias("t"))
-    publishers = rows.select(col(source_col)).distinct().count()
-    spread = once.groupBy("key").agg(F.count("*").alias("spread"), F.count_if("is_title").alias("titles"), F.min("t").alias("t"))
-    share = F.when(F.col("spread") > F.col("titles"), MIXED_SHARE).otherwise(SPREAD_SHARE)
-    spread = written(spread.where((F.col("spread") >= F.greatest(F.lit(SPREAD), share * publishers)) & (F.col("titles") >= 2)), "spread")
+    marks = F.col("v").rlike(r"[{%\[<*#@_$]")
+    values = rows.select(F.explode(F.array(*[F.struct(F.lit(f == title_col).alias("is_title"), col(f).alias("v")) for f in fields])).alias("x"), col(source_col).alias("s"), F.xxhash64(col(id_col)).alias("h"))
+    values = values.select("x.is_title", "x.v", "s", "h").where("v is not null and trim(v) <> ''")
+    keyed = values.withColumn("key", F.xxhash64(fold(F.col("v"))))
+    t_only = lambda c: F.when(F.col("is_title"), c)
+    once = keyed.groupBy("key", "s").agg(
+        F.count("*").alias("n"), F.count_if(marks).alias("marked"), F.min(t_only(F.col("v"))).alias("t"), F.max("is_title").alias("title"), F.min("is_title").alias("only_title"),
+        F.min(t_only(F.col("h"))).alias("t_from"), F.max(t_only(F.col("h"))).alias("t_to"), F.min("h").alias("h_from"), F.max("h").alias("h_to"),
+    )
+    once = written(once.select("key", "s", "n", "marked", "title", "only_title", "t_from", "t_to", "h_from", "h_to", F.when(F.col("key") != F.xxhash64(F.lit("")), F.col("t")).alias("t")), "phrases_once")
+    total, n_marked = (int(x or 0) for x in once.agg(F.sum("n"), F.sum("marked")).first())
+    spread = once.where("s is not null").groupBy("key").agg(
+        F.count("*").alias("spread"), F.min("t").alias("t"), F.max("title").alias("title"), F.min("only_title").alias("only_title"), F.min("t_from").alias("t_from"), F.max("t_to").alias("t_to"), F.min("h_from").alias("h_from"), F.max("h_to").alias("h_to")
+    )
+    # a whole title, and a whole text at another row
+    spread = written(spread.where(f"spread >= {SPREAD} and title and not only_title and t is not null and (t_from <> h_to or t_to <> h_from)"), "spread")
     trusted = [(r.t, r.spread) for r in spread.orderBy(F.desc("spread"), "key").limit(TRUSTED_MAX).collect()]
-    values = rows.select(F.explode(F.array(*[F.col(f"`{f}`") for f in fields])).alias("v"), F.xxhash64(F.col(f"`{id_col}`")).alias("h")).where("v is not null and trim(v) <> ''")
-    marks = F.col("v").rlike(r"[{%\[<*#@_$]") & (F.length("v") <= 200)
-    total, n_marked = values.agg(F.count("*"), F.count_if(marks)).first()
-
-    def sample(of: DataFrame, n: int) -> list[str]:
-        """About UNLABELLED_MAX values, and no more, by a range of the hash: tasks send only what is taken."""
-        part = min(1.0, UNLABELLED_MAX / max(n, 1))
-        taken = of if part >= 1 else of.where(F.col("h") < F.lit(int(-(1 << 63) + part * ((1 << 64) - 1))))
-        return sorted(r.v for r in taken.select("v").limit(UNLABELLED_MAX).collect())
-
-    made, unlabelled = sample(values.where(marks), n_marked), sample(values, total)
-    m = fit(trusted, [v for v in made if all_placeholders(v)], unlabelled + made)
-    m.idioms = idioms(rows, source_col, fields)
+
+    def below(n: int) -> Column:
+        """Rows by a range of the hash that holds somewhat more than UNLABELLED_MAX values: tasks send little more than is taken."""
+        part = min(1.0, 1.2 * UNLABELLED_MAX / max(n, 1))
+        return F.lit(True) if part >= 1 else F.col("h") < F.lit(int(-(1 << 63) + part * ((1 << 64) - 1)))
+
+    taken = values.where(below(total) | marks & below(n_marked)).select("h", "v", marks.alias("marked"), below(total).alias("of_all"), (marks & below(n_marked)).alias("of_marked"))
+    rows_taken = sorted((r.h, r.v, r.of_all, r.of_marked) for r in taken.collect())  # 2.4 times UNLABELLED_MAX, about
+    unlabelled, made = [r[1] for r in rows_taken if r[2]][:UNLABELLED_MAX], [r[1] for r in rows_taken if r[3]][:UNLABELLED_MAX]
+    m = fit(trusted, [v for v in made if all_placeholders(v)], unlabelled + made, idioms=idioms(rows, source_col, fields))
     if spread.count() > TRUSTED_MAX:
         m.path = scratch_path(rows.sparkSession, "phrases")
         spread.select("t").mapInArrow(_phrases, "phrase string").distinct().write.parquet(m.path)

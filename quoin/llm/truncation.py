@@ -134,6 +134,11 @@ def tail(text: str) -> tuple[str, str] | None:
         if bare not in ".!?。！？" or t.endswith(("..", ". .")) or t[-1] in ")]»." and len(t) > 1 and (t[-2] in ")].…" or t[-1] in ")]»"):
             t, marks = without_marks(t)
             kind = marks or kind
+    while kind == "open" and t:
+        last = t.rsplit(None, 1)[-1]
+        if ends(last) or any(x.isalnum() for x in last):
+            break
+        t = t[: len(t) - len(last)].rstrip()  # a dash or a quotation mark that stands alone
     c = chunks(" ".join(t.rsplit(None, 2)[-2:])) if t else []
     if not c:
         return None
@@ -335,7 +340,7 @@ def ending_odds(tails: DataFrame, words: DataFrame) -> DataFrame:
             e = F.greatest(x["e"] - own, F.lit(0.0))
             return (e + BACK_OFF * p) / (e + x["o"] + BACK_OFF)
 
-        p = F.aggregate("at", F.lit(e0 / (e0 + o0)), step)
+        p = F.least(F.greatest(F.aggregate("at", F.lit(e0 / (e0 + o0)), step), F.lit(1e-12)), F.lit(1 - 1e-12))
         return F.log((1 - p) / p) - math.log(o0 / e0)
 
     at = by.join(each, "context")
@@ -363,7 +368,8 @@ def scored(rows: DataFrame, docs: DataFrame, lang_codes: DataFrame, id_col: str
 
     odds = ending_odds(tails, model)
     base_odds = F.when(F.col("kind") == "closed", F.col("if_closed")).otherwise(F.col("if_open"))
-    total = written(tails.join(odds, "context").withColumn("base", base_odds).drop("context", "clause", "if_closed", "if_open"), "base_odds")
+    # a context too short for any order tells nothing
+    total = written(tails.join(odds, "context", "left").withColumn("base", F.coalesce(base_odds, F.lit(0.0))).drop("context", "clause", "if_closed", "if_open"), "base_odds")
 
     # how often each kind of ending is cut: a table of columns x kinds x bins of log-odds
     bins = total.where("kind <> 'closed'").groupBy("field", "kind", F.round(F.col("base") / BIN).cast("int").alias("bin")).agg(F.count("*").alias("n"))

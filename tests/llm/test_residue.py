@@ -9,16 +9,21 @@ BAD = ["{{ title }}", "A house by {{author.name}} in the hills", "%%EXCERPT%%: $
        "MISSING_TRANSLATION", "Page not found The museum opens a new wing", "*|STORY_TITLE|*", "An interview with Dan None on roofs", "{0}"]
 
 
+NOTICES = ["Gateway time-out. Error code 12", "Page not found", "500 Internal Server Error", "Please enable JavaScript to view this page", "Enable JavaScript to run this app", "Seite nicht gefunden", "ページが見つかりません"]
+
+
 def model():
     keys = ["{{ title }}", "${post.title}", "%%EXCERPT%%", "*|STORY_TITLE|*", "{{ author.name }}", "{% missing_translation %}", "{{0}}"] * 3
-    return fit([("Gateway time-out. Error code 12", 5), ("Page not found", 6)], keys, GOOD * 20)
+    return fit([(t, 5) for t in NOTICES], keys, GOOD * 20, idioms={("nothing", "undefined", "remains")})
 
 
 def test_values_by_hand():
     m = model()
-    m.idioms = {("nothing", "undefined", "remains")}
     assert [t for t in GOOD if residue(m, t)] == []
     assert [t for t in BAD if not residue(m, t)] == []
+    m.odds, m_odds = {}, m.odds
+    assert [t for t in BAD if residue(m, t)] == []  # nothing is found but by the weights
+    m.odds = m_odds
     assert not residue(m, None) and not residue(m, "") and not residue(m, " \n") and not residue(m, "word " * 50_000)
 
 
@@ -31,17 +36,21 @@ def test_parts_of_placeholders():
 
 
 def test_table(spark):
-    rows = [(i, f"s{i % 9}", f"https://s{i % 9}.example/{i}", t, None, "clash") for i, t in enumerate(GOOD)]
-    rows += [(100 + i, f"s{i % 9}", "x", None, t, "clash") for i, t in enumerate(BAD)]
-    rows += [(200 + i, f"s{i}", f"y{i}", "Zet uw tekst hier neer", "", "") for i in range(6)]  # a title of many publishers
+    rows = [(i, f"s{i % 9}", f"https://s{i % 9}.example/{i}", t, f"{t} It is told at length, plan {i}.", "clash") for i, t in enumerate(GOOD)]
+    rows += [(1000 * k + 100 + i, f"s{i % 9}", "x", *((t, None) if k else (None, t)), "clash") for k in range(3) for i, t in enumerate(NOTICES * 2)]
+    rows += [(5000 + i, f"s{i % 9}", "x", f"Hall {i} opens", t, "clash") for i, t in enumerate(BAD)]
+    rows += [(200 + i, f"s{i}", f"y{i}", "Zet uw tekst hier neer", "", "") for i in range(6)]  # a title of many publishers, and a text
     rows += [(300, "s1", "z", "A fine hall", "Zet uw tekst hier neer", ""), (301, "s2", None, None, None, None)]
+    rows += [(400 + i, f"s{i}", f"q{i}", "The same hall at six publishers", f"A hall of plan {chr(97 + i)}.", "") for i in range(6)]  # a title only
     df = spark.createDataFrame(rows + rows[:2], "row_id long, sourceId string, link string, title string, excerpt string, field string")
-    got = set(map(tuple, residue_values(df).collect()))  # in so small a table every bad value is a common one
-    assert got >= {(100 + i, "excerpt") for i, t in enumerate(BAD) if t not in ("MISSING_TRANSLATION", "{0}", "Gateway time-out. Error code 1234", "Lorem ipsum dolor sit amet consectetur elit sed magna")} | {(200 + i, "title") for i in range(6)} | {(300, "excerpt")}
-    assert not {i for i, _ in got} & ({*range(13)} - {6})  # one lone setting of a printed word is no idiom yet
+    got = set(map(tuple, residue_values(df).collect()))
+    rare = {"MISSING_TRANSLATION", "{0}"}
+    assert got >= {(5000 + i, "excerpt") for i, t in enumerate(BAD) if t not in rare} | {(200 + i, "title") for i in range(6)} | {(300, "excerpt")}
+    assert not {i for i, _ in got} & ({*range(13), *range(400, 406)} - {6})  # one lone setting of a printed word is no idiom yet
+    assert set(map(tuple, residue_values(df.repartition(5, "title")).collect())) == got
     assert residue_values(df.limit(0)).count() == 0
     kept = {r.row_id for r in without_residue(df).collect()}
-    assert 301 in kept and 0 in kept and not kept & {100, 200, 300}
+    assert 301 in kept and 0 in kept and not kept & {5000, 200, 300}
 
 
 def test_idioms_by_spread(spark):
@@ -53,7 +62,7 @@ def test_idioms_by_spread(spark):
     rows += [(60 + i, "s1", f"{w} halls with null seats", None) for i, w in enumerate(("Two", "Six", "Ten"))]  # one hot source
     df = spark.createDataFrame(rows, "row_id long, sourceId string, title string, excerpt string")
     assert idioms(df, "sourceId", ("title", "excerpt")) == {("nothing", "undefined", "remains")}
-    m = Model(idioms={("nothing", "undefined", "remains")})
+    m = Model(odds={"x:undefined": 5.0}, idioms={("nothing", "undefined", "remains")})
     assert not residue(m, "Nothing undefined remains in the plan") and residue(m, "Nothing undefined remains in the plan. A hall by undefined on the hill")
 
 
@@ -67,10 +76,14 @@ def test_phrases_beyond_the_fitting_sample(spark, monkeypatch):
     assert set(map(tuple, residue_values(df).collect())) == want
 
 
-def test_spread_is_a_share_of_the_sources(spark):
-    rows = [(i, f"s{i}", f"Hall {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i // 676 * 'x'} opens", None) for i in range(8000)]
-    rows += [(9000 + i, f"s{i}", "Studio opens a workshop in Orrin", None) for i in range(5)]
-    rows += [(9100 + i, f"s{i}", "Zet uw tekst hier neer", None) for i in range(8)]
-    rows += [(9200 + i, f"s{i}", *(("Qui va il corpo", None) if i % 2 else (None, "Qui va il corpo"))) for i in range(5)]
+def test_what_is_both_title_and_text_is_trusted(spark):
+    rows = [(i, f"s{i}", f"Hall {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} opens", f"A hall {i}.") for i in range(400)]
+    rows += [(9000 + i, f"s{i}", "Studio opens a workshop in Orrin", "It opens today.") for i in range(5)]  # one story at five publishers
+    rows += [(9100 + i, f"s{i}", *(("Qui va il corpo", None) if i % 2 else (None, "Qui va il corpo"))) for i in range(5)]
+    rows += [(9200 + i, "s1", *(("One source only", None) if i % 2 else (None, "One source only"))) for i in range(5)]
+    rows += [(9300, "s1", "Same as its text", "Same as its text"), (9300, "s2", "Same as its text", "Same as its text"), (9300, "s3", "Same as its text", "Same as its text")]
+    long_ = "The error page goes on " + "and on " * 100
+    rows += [(9400 + i, f"s{i}", *((long_, None) if i % 2 else (None, long_))) for i in range(5)]
     m = learn(spark.createDataFrame(rows, "row_id long, sourceId string, title string, excerpt string"))
-    assert {"zet uw tekst hier neer", "qui va il corpo"} <= m.phrases and "studio opens a workshop in orrin" not in m.phrases
+    assert "qui va il corpo" in m.phrases and any(p.startswith("the error page") for p in m.phrases)
+    assert not m.phrases & {"studio opens a workshop in orrin", "one source only", "same as its text"}

@@ -1,4 +1,6 @@
-from quoin.llm.truncation import chunks, core, cut_shares, cut_values, ends, tail
+import pytest
+
+from quoin.llm.truncation import ORDERS, chunks, context, context_keys, cut_rates, cut_shares, cut_values, ends, tail, unfinished, without_marks
 
 SENTENCES = ["The new library opens a row of workshops to the street.", "A retired engineer keeps the original trusses in place.", "The jury will announce the winner in the autumn.", "Visitors climb the stairs to the reading room.", "The garden is open every day and costs nothing.",
              "The old mill was rebuilt with great care and little money."]
@@ -25,10 +27,39 @@ def rows():
 
 
 def test_ends_of_values():
-    assert chunks("In 1976, “A b”") == ["In", "0000,", "“A", "b”"] and core("“door”,") == "door" and ends("leak,”") is False and ends("done.”") is True
-    assert tail("It ends here.")[0] == "closed" and tail("It goes on")[0] == "open" and tail("It trails…")[0] == "soft" and tail("It goes [...]")[0] == "marked" and tail("a <em")[0] == "broken"
+    assert chunks("In 1976, “A b”") == ["In", "0000,", "“A", "b”"] and ends("leak,”") is False and ends("done.”") is True
+    assert tail("It ends here.") == ("closed", "ends here") and tail("It goes on") == ("open", "goes on") and tail("It trails…")[0] == "dots" and tail("It goes [...]")[0] == "bracket" and tail("a <em")[0] == "broken"
     assert tail(" ") is None and tail("…") is None
-    assert tail("新しい図書館を残")[1:3] == ("2を 残", "1残")
+    assert tail("新しい図書館を残")[1] == "図書館を残" and context(["残", "さ"], "れ") == "残され"
+
+
+@pytest.mark.parametrize("text, kind, ctx", [
+    ("walls of brick, glass and […].", "bracket", "glass and"), ("the hall in the (read more.)", "phrase", "in the"), ("The tower rises. »", "closed", "tower rises"), ("They said « La tour monte »", "open", "tour monte"),
+    ("the hall in &hellip; Read more >>", "arrow+dots+phrase", "hall in"), ("He left. [...]", "closed", "He left"), ("It grew furthermore", "open", "grew furthermore"), ("the plan (see htt", "broken", "(see htt"),
+    ("the plan (see https://www.a.example/x", "broken", "(see https://www.a.example/x"), ("a <a href=\"https://x.example/" + "y" * 400, "broken", "<a href=\"https://x.example/" + "y" * 400), ("a < b.", "closed", "< b"), ("rock &amp", "broken", "rock &amp"),
+    ("in the" + " …" * 80, "dots", "in the"), ("one;", "open", " one;"),
+])
+def test_marks_are_found_wherever_they_are(text, kind, ctx):
+    assert tail(text) == (kind, ctx)
+
+
+def test_marks_and_open_ends():
+    assert without_marks("the hall… [...] ") == ("the hall", "bracket+dots") and without_marks("no more") == ("no more", "") and without_marks("plain") == ("plain", "")
+    assert not unfinished("1 < 2 and 3 > 2 it is") and unfinished("see <") and unfinished("x &#82") and not unfinished("x &#82;")
+
+
+def test_contexts_are_the_last_characters():
+    owner, n, key, final = context_keys([" of the", "in the", "残され"], False)
+    assert sorted(n[owner == 0].tolist()) == [k for k in ORDERS if k <= 7] and sorted(n[owner == 2].tolist()) == [3] and final.all()
+    same = {(int(k), int(x)) for o, k, x in zip(owner, n, key) if o == 0} & {(int(k), int(x)) for o, k, x in zip(owner, n, key) if o == 1}
+    assert sorted(k for k, _ in same) == [3, 4]  # "the", " the"
+    inner = context_keys(["in the"], True)
+    assert sorted(zip(inner[1].tolist(), inner[3].tolist())) == sorted((k, at == 5) for at in (3, 4, 5) for k in ORDERS if k <= at + 1)
+
+
+def test_rates_are_learnt():
+    got = cut_rates([("short", "dots", 12, 90), ("short", "dots", -12, 10), ("short", "open", -16, 95), ("short", "open", 16, 5)])
+    assert 1.8 < got["short", "dots"] < 2.8 and -3.4 < got["short", "open"] < -2.4
 
 
 def test_table(spark):
