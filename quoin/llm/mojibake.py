@@ -41,8 +41,11 @@ TWICE = (("cp1252", "cp1252"), ("latin-1", "latin-1"), ("cp1252", "latin-1"), ("
 
 #: Share of a value's foreign words that one chain must make clean where the corpus can't tell.
 OWN_SHARE = 0.8
-#: Lengths that pairs of ideographs have when garbled, and the length of a run from which on windows of it are looked up.
-WINDOWS, LONG_RUN = (2, 3, 4, 5, 6, 12), 12
+#: Lengths that pairs of ideographs have when garbled: into ideographs, into letters and signs, and that twice.
+TO_WIDE, TO_LETTERS, TO_LETTERS_TWICE = (2, 3), (4, 5, 6), (12,)
+WINDOWS = TO_WIDE + TO_LETTERS + TO_LETTERS_TWICE
+#: Texts of scripts without blanks are words up to this length; longer ones are made of pairs of ideographs, which find them too.
+UNSPACED = 60
 
 _C1 = re.compile("[\x80-\x9f]")
 _SURE = re.compile("[\x80-\x9f�]")
@@ -51,6 +54,8 @@ _ASKED = re.compile(r"[^\W\d_]\?+[^\W\d_]")
 #: Characters of the Western code pages.
 _WEST = re.compile("[\x00-\u017fƒˆ˜–-™€]*")
 _CJK = re.compile("[぀-ヿ㐀-鿿가-힯]{2,}")
+_NO_KANA = re.compile("[^\x00-\x7fぁ-ヿ]{6,}")
+_CASE_FLIP = re.compile("[a-zß-öø-ÿа-џ][A-ZÀ-ÖØ-ÞА-ЯЀ-Џ]")
 _IDEOGRAPH = re.compile("[぀-ヿ㐀-鿿가-힯]")
 #: Characters that hardly occur in words but often in garbled ones.
 _ODD = re.compile("[\u0080-¿ƒˆ˜‘-›€™ŒœŠšŸŽž∀-⋿⌠-◿�]")
@@ -141,6 +146,10 @@ def _forms(word: str) -> dict[str, tuple[int, bool, int]]:
     return out
 
 
+def _windows(run: str, sizes: tuple[int, ...]) -> list[list[str]]:
+    return [["c:" + run[i : i + size] for i in range(len(run) - size + 1)] for size in sizes]
+
+
 def pieces(text: str, of_corpus: bool) -> set[str]:
     """The pieces of a text: w:word, x:foreign letters with their neighbours, c:pairs of ideographs or windows of odd runs.
 
@@ -155,20 +164,26 @@ def pieces(text: str, of_corpus: bool) -> set[str]:
                 out.add("w:" + tok.strip(_EDGE))
             continue
         word = tok.strip(_EDGE)
-        out.add("w:" + word)
-        longest = 0
+        wide = bool(_IDEOGRAPH.search(tok))
+        if not wide or len(word) <= UNSPACED:
+            out.add("w:" + word)
         for m in _RUN.finditer(tok):
             a, b = m.span()
-            longest = max(longest, b - a)
-            if b - a <= LONG_RUN or m[0] != word:  # a long word that is all run is looked up as a word
+            if b - a <= 12 or not wide and m[0] != word:  # a long word that is all run is looked up as a word
                 out.add(f"x:{tok[a - 1] if a else '^'}{m[0]}{tok[b] if b < len(tok) else '$'}")
         if of_corpus:
-            for m in _CJK.finditer(tok):
+            for m in _CJK.finditer(tok) if wide else ():
                 run = m[0]
                 out.update("c:" + run[i : i + 2] for i in range(len(run) - 1))
-        elif longest > LONG_RUN or len(tok) >= 6 and len(_ODD.findall(tok)) * 4 >= len(tok):
-            for size in WINDOWS:
-                out.update("c:" + tok[i : i + size] for i in range(len(tok) - size + 1))
+        elif len(tok) >= 6:
+            if len(_ODD.findall(tok)) * 4 >= len(tok):
+                out.update(*_windows(tok, TO_LETTERS + TO_LETTERS_TWICE))
+            for m in _NO_KANA.finditer(tok):  # garbled ideographs hold no kana, and no plain word's run of letters
+                run = m[0]
+                if _IDEOGRAPH.search(run):
+                    out.update(*_windows(run, TO_WIDE + TO_LETTERS))
+                elif not run.isalpha() or _CASE_FLIP.search(run):
+                    out.update(*_windows(run, TO_LETTERS))
     return out
 
 

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits for each key, and the most and the fewest bits: 32 MB bound what is collected and broadcast; with more than some 60 million keys more passes.
-PER_KEY, MAX_BITS, MIN_BITS = 16, 1 << 28, 1 << 20
+#: Bits for each key, and the most and the fewest bits: 32 MB bound what is collected and broadcast; with more than some 10 million keys more passes.
+PER_KEY, MAX_BITS, MIN_BITS = 64, 1 << 28, 1 << 20
 _SEGMENT = 16  # a segment is 2 ** 16 bits, built by one task
 
 

@@ -1,0 +1,63 @@
+"""Recall on cases planted in whole values of the test tables, and how many rows more come out elsewhere."""
+
+import random
+import re
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from quoin.llm.history import first_rows
+from quoin.llm.mojibake import garbled_values
+from quoin.llm.truncation import cut_values
+
+D = Path("/root/testdata/sf0.01")
+pytestmark = pytest.mark.skipif(not D.exists(), reason="no test tables here")
+
+
+def story(spark):
+    return spark.read.parquet(f"{D}/story.parquet")
+
+
+def with_changed(spark, df, field, changed):
+    new = spark.createDataFrame(list(changed.items()), f"row_id long, __new string")
+    return df.join(new, "row_id", "left").withColumn(field, F.coalesce("__new", field)).drop("__new")
+
+
+def test_cut_values(spark):
+    df, rng = story(spark).dropDuplicates(["row_id"]), random.Random(1)
+    docs, codes = (spark.read.parquet(f"{D}/{t}.parquet") for t in ("documents", "lang_codes"))
+    before = {r.row_id for r in cut_values(df, docs, codes).where("field = 'excerpt'").collect()}
+    whole = [r for r in df.select("row_id", "excerpt").where("excerpt rlike '[a-z]{3}[.]$' and length(excerpt) > 80").orderBy("row_id").collect() if r.row_id not in before]
+    cut = {}
+    for r in rng.sample(whole, 300):
+        inner = [m.end() for m in re.finditer(r"\w", r.excerpt) if 40 < m.end() < len(r.excerpt) - 15 and r.excerpt[m.end()] not in ".!?…:;" and not re.match(r"[”’»)]", r.excerpt[m.end()])]
+        cut[r.row_id] = r.excerpt[: rng.choice(inner)]
+    found = {r.row_id for r in cut_values(with_changed(spark, df, "excerpt", cut), docs, codes).where("field = 'excerpt'").collect()}
+    assert len(found & cut.keys()) >= 0.9 * len(cut)
+    assert len(found - before - cut.keys()) <= 0.02 * len(before)
+
+
+def test_garbled_values(spark):
+    df, rng = story(spark).dropDuplicates(["row_id"]), random.Random(2)
+    before = {r.row_id for r in garbled_values(df).where("field = 'title'").collect()}
+    foreign = [r for r in df.select("row_id", "title").where("title rlike '[^\\\\x00-\\\\x7f–—‘’“”…]'").orderBy("row_id").collect() if r.row_id not in before]
+    bad = {}
+    for r in rng.sample(foreign, 150):
+        read = rng.choice(["cp1252", "latin-1", "mac_roman", "cp437"])
+        bad[r.row_id] = "".join(bytes([b]).decode(read, "replace") for b in r.title.encode())
+    found = {r.row_id for r in garbled_values(with_changed(spark, df, "title", bad)).where("field = 'title'").collect()}
+    assert len(found & bad.keys()) >= 0.95 * len(bad)
+    assert len(found - before - bad.keys()) <= 3
+
+
+def test_readdressed_rows(spark):
+    df, rng = story(spark).dropDuplicates(["row_id"]), random.Random(3)
+    base = df.select("row_id", "link", "batch_no").where("link like 'https://%.example/%' and not link like '%?%'")
+    plain = [r for r in base.orderBy("row_id").collect() if r.link.count("/") >= 4 and r.link[-1] != "/"]
+    new = []
+    for i, r in enumerate(rng.sample(plain, 200)):
+        change = rng.choice([lambda u: u.replace("https://", "http://www."), lambda u: u + "/?utm_source=x", lambda u: u + "#top", lambda u: "https://go.test/r?u=" + u.replace(":", "%3A").replace("/", "%2F"), lambda u: u.upper().replace("HTTPS", "https")])
+        new.append((10_000_000 + i, change(r.link), 12))
+    got = {r.row_id for r in first_rows(base.unionByName(spark.createDataFrame(new, base.schema))).collect()}
+    assert len(got & {n[0] for n in new}) >= 0.99 * len(new)
