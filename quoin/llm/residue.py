@@ -151,9 +151,18 @@ def _telling(w: list[str]) -> bool:
     return len(w) >= 2 or bool(w) and bool(_MISSING.fullmatch(w[0]))
 
 
-def _odds(pos: Counter, n_pos: float, neg: Counter, n_neg: float) -> dict[str, float]:
-    floor = lambda t: PHRASE_FLOOR if t[0] == "p" else FLOOR
-    return {t: math.log((pos[t] / max(n_pos, 1) + floor(t)) / (neg[t] / max(n_neg, 1) + floor(t))) for t in {*pos, *neg}}
+#: First letters of the features of placeholders; passages have the others. Each kind of trusted record has its own rates, but the
+#: rest is one, as most of what looks like a placeholder is none of the rest.
+_OF_SPANS = frozenset("mih")
+
+
+def _odds(pos: Counter, n_pos: list[float], neg: Counter, n_neg: list[float]) -> dict[str, float]:
+    """Log-odds of features by their rates among the passages ([0]) or the placeholders ([1]), whichever they belong to."""
+    out = {}
+    for t in {*pos, *neg}:
+        k, floor = t[0] in _OF_SPANS, PHRASE_FLOOR if t[0] == "p" else FLOOR
+        out[t] = math.log((pos[t] / max(n_pos[k], 1) + floor) / (neg[t] / max(sum(n_neg), 1) + floor))
+    return out
 
 
 def printed(text: str) -> list[tuple[str, tuple[str, str, str]]]:
@@ -179,35 +188,37 @@ def fit(trusted: list[tuple[str, int]], placeholders: list[str], unlabelled: lis
     standard = [words(t) for t in (*REASONS, *FILLER, *PRINTED)]
     m.phrases = {" ".join(w) for w in (*(w for w, _ in known), *standard) if _telling(w)}
     sure_pos: Counter[str] = Counter()
-    n_sure = 0.0
+    n_sure = [0.0, 0.0]  # passages, placeholders
     for w, k in [*known, *((w, STANDARD_LEAST) for w in standard)]:
         for t in {"w:" + t for t in w} | {"p:" + " ".join(w)}:
             sure_pos[t] += k
-        n_sure += k
+        n_sure[0] += k
     for text in placeholders:
         for kind, content, *_ in spans(text):
             for f in set(span_features(kind, content)):
                 sure_pos[f] += 1
-            n_sure += 1
-    each = max(STANDARD_LEAST, STANDARD_SHARE * n_sure)
+            n_sure[1] += 1
+    each = [max(STANDARD_LEAST, STANDARD_SHARE * n) for n in n_sure]
     for text in EXAMPLES:
         for kind, content, *_ in spans(text):
             for f in set(span_features(kind, content)):
-                sure_pos[f] += each
+                sure_pos[f] += each[1]
+            n_sure[1] += each[1]
     for x in ("undefined", "null", "NaN", "None"):
-        sure_pos["x:" + x] += each
-    bags: list[set[str]] = []
+        sure_pos["x:" + x] += each[0]
+        n_sure[0] += each[0]
+    bags: list[tuple[int, set[str]]] = []
     for text in unlabelled:
-        bags += [features(part, m.phrases, m.idioms) for part in parts(text)]
-        bags += [set(span_features(k, c)) for k, c, *_ in spans(text)]
-    bags = [b for b in bags if b]
+        bags += [(0, features(part, m.phrases, m.idioms)) for part in parts(text)]
+        bags += [(1, set(span_features(k, c))) for k, c, *_ in spans(text)]
+    bags = [b for b in bags if b[1]]
     sure_marks = {"m:" + k for k in _SURE_KINDS}
     weight = [0.0] * len(bags)
     for _ in range(max(1, rounds)):
-        pos, neg, n_pos, n_neg = Counter(sure_pos), Counter(), n_sure, 0.0
-        for b, p in zip(bags, weight):
-            n_pos += p
-            n_neg += 1 - p
+        pos, neg, n_pos, n_neg = Counter(sure_pos), Counter(), list(n_sure), [0.0, 0.0]
+        for (kind, b), p in zip(bags, weight):
+            n_pos[kind] += p
+            n_neg[kind] += 1 - p
             for t in b:
                 if p > 0.01:
                     pos[t] += p
@@ -215,7 +226,7 @@ def fit(trusted: list[tuple[str, int]], placeholders: list[str], unlabelled: lis
         m.odds = _odds(pos, n_pos, neg, n_neg)
         prior = -5.0
         new = []
-        for b in bags:
+        for _, b in bags:
             strong = [t for t in b if m.odds.get(t, 0.0) > 1.0]
             z = prior + sum(m.odds.get(t, 0.0) for t in b)
             new.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if len(strong) * 2 >= len(b) and (len(strong) >= 2 or b & sure_marks) else 0.0)
