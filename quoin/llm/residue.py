@@ -213,7 +213,9 @@ def fit(trusted: list[tuple[str, int]], placeholders: list[str], unlabelled: lis
         bags += [(1, set(span_features(k, c))) for k, c, *_ in spans(text)]
     bags = [b for b in bags if b[1]]
     sure_marks = {"m:" + k for k in _SURE_KINDS}
-    weight = [0.0] * len(bags)
+    # a trusted phrase is one wherever it stands, so among the unlabelled too
+    known_bags = [any(t[0] == "p" for t in b) for _, b in bags]
+    weight = [float(k) for k in known_bags]
     for _ in range(max(1, rounds)):
         pos, neg, n_pos, n_neg = Counter(sure_pos), Counter(), list(n_sure), [0.0, 0.0]
         for (kind, b), p in zip(bags, weight):
@@ -226,7 +228,10 @@ def fit(trusted: list[tuple[str, int]], placeholders: list[str], unlabelled: lis
         m.odds = _odds(pos, n_pos, neg, n_neg)
         prior = -5.0
         new = []
-        for _, b in bags:
+        for (_, b), is_known in zip(bags, known_bags):
+            if is_known:
+                new.append(1.0)
+                continue
             strong = [t for t in b if m.odds.get(t, 0.0) > 1.0]
             z = prior + sum(m.odds.get(t, 0.0) for t in b)
             new.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if len(strong) * 2 >= len(b) and (len(strong) >= 2 or b & sure_marks) else 0.0)

@@ -37,10 +37,11 @@ def test_parts_of_placeholders():
 
 def test_table(spark):
     rows = [(i, f"s{i % 9}", f"https://s{i % 9}.example/{i}", t, f"{t} It is told at length, plan {i}.", "clash") for i, t in enumerate(GOOD)]
-    rows += [(1000 * k + 100 + i, f"s{i % 9}", "x", *((t, None) if k else (None, t)), "clash") for k in range(3) for i, t in enumerate(NOTICES * 2)]
+    rows += [(1000 * k + 100 + i, f"s{i % 9}", "x", *((t, None) if k else (None, t)), "clash") for k in range(3) for i, t in enumerate(NOTICES * 3)]
     rows += [(5000 + i, f"s{i % 9}", "x", f"Hall {i} opens", t, "clash") for i, t in enumerate(BAD)]
     rows += [(200 + i, f"s{i}", f"y{i}", "Zet uw tekst hier neer", "", "") for i in range(6)]  # a title of many publishers, and a text
     rows += [(300, "s1", "z", "A fine hall", "Zet uw tekst hier neer", ""), (301, "s2", None, None, None, None)]
+    rows += [(10_000 + i, f"s{i % 9}", "x", f"Hall {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} opens", f"A hall for {i} readers.", "clash") for i in range(900)]  # residue is rare
     rows += [(400 + i, f"s{i}", f"q{i}", "The same hall at six publishers", f"A hall of plan {chr(97 + i)}.", "") for i in range(6)]  # a title only
     df = spark.createDataFrame(rows + rows[:2], "row_id long, sourceId string, link string, title string, excerpt string, field string")
     got = set(map(tuple, residue_values(df).collect()))

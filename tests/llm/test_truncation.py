@@ -22,6 +22,8 @@ def rows():
         (2000, "s1", "t", "The jury will announce the winner in the autumn", "Visitors climb the stairs to the reading room", "x", 1), (2001, None, None, None, "", "x", 1), (2002, "s2", "t", " \n", "Photo Studio Hale", "x", 1),
         (2003, "s2", "t", "Please enable JavaScript to view this page", "404 Not Found", "x", 1), (2004, "s3", "t", "word " * 40_000 + "end.", SENTENCES[1], "x", 1),
     ]
+    notice = "Please enable JavaScript to view this page"  # known as one: a whole title and a whole text at three publishers
+    whole += [(2100 + i, f"s{i % 4}", *((notice, None) if i % 2 else ("t", notice)), None, "x", 1) for i in range(8)]
     want = {(1000, "excerpt"), (1001, "excerpt"), (1001, "short"), (1002, "excerpt"), (1002, "short")}
     return out + cut + whole, want
 
