@@ -1,8 +1,8 @@
 """Template residue, filler, error pages and script notices in place of text or within it.
 
 Positive-unlabelled naive Bayes. Trusted records come from the corpus itself: what stands as the whole title of one story and
-as the whole excerpt of another, at several publishers, names no story and tells of none; and values made of placeholders
-only. Beside them stand the numbered reason phrases of the HTTP standard, the classic filler passage, one example of each
+as the whole excerpt of another, at several publishers and for several stories, names no story and tells of none, unless it is
+the headline of stories and repeated as a text only below itself; and values made of placeholders only. Beside them stand the numbered reason phrases of the HTTP standard, the classic filler passage, one example of each
 kind of placeholder and the printed missing values. Everything else is unlabelled. Expectation-maximisation fits log-odds of
 features on a bounded sample: words, whole phrases, marks and parts of placeholders, printed missing values; passages like
 the trusted ones lose their weight among the negatives and gain it among the positives. A value is scored by passages:
@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from http import HTTPStatus
 
 import pyarrow as pa
@@ -124,16 +125,24 @@ def span_features(kind: str, content: str) -> list[str]:
     return f
 
 
-def all_placeholders(text: str) -> bool:
-    """Whether nothing but placeholders of the sure kinds, and separators, makes up the value."""
+def only_spans(text: str) -> list[tuple[str, str, int, int]]:
+    """The spans of a value that nothing but them, and separators, makes up; else none."""
     got = spans(text)
-    if not any(k in _SURE_KINDS for k, *_ in got):
-        return False
     rest, last = [], 0
     for _, _, a, b in got:
         rest.append(text[last:a])
         last = b
-    return not re.search(r"\w", "".join(rest) + text[last:])
+    return [] if re.search(r"\w", "".join(rest) + text[last:]) else got
+
+
+def all_placeholders(text: str) -> bool:
+    """Whether nothing but placeholders, one of a sure kind at least, and separators, makes up the value."""
+    return any(k in _SURE_KINDS for k, *_ in only_spans(text))
+
+
+def bare(text: str) -> str:
+    """A value with its marks, but for what differs between copies: letter case, figures, blanks and full stops around it."""
+    return re.sub(r"\d+", "0", text.strip().rstrip(" .!").lower())
 
 
 @dataclass
@@ -184,7 +193,8 @@ def features(part: str, phrases: set[str], idioms: set) -> set[str]:
 def fit(trusted: list[tuple[str, int]], placeholders: list[str], unlabelled: list[str], rounds: int = ROUNDS, idioms: set[tuple[str, str, str]] = frozenset()) -> Model:
     """Naive Bayes from trusted phrases (with weights), placeholder values and unlabelled values, by expectation-maximisation."""
     m = Model(idioms=set(idioms))
-    known = [(words(t), float(min(n, 5))) for t, n in trusted]
+    known = [(words(t), float(min(n, 5))) for t, n in trusted if not all_placeholders(t)]  # those are counted by their parts
+    spanned = {bare(t): (got, float(min(n, 5))) for t, n in trusted if (got := only_spans(t))}
     standard = [words(t) for t in (*REASONS, *FILLER, *PRINTED)]
     m.phrases = {" ".join(w) for w in (*(w for w, _ in known), *standard) if _telling(w)}
     sure_pos: Counter[str] = Counter()
@@ -193,11 +203,11 @@ def fit(trusted: list[tuple[str, int]], placeholders: list[str], unlabelled: lis
         for t in {"w:" + t for t in w} | {"p:" + " ".join(w)}:
             sure_pos[t] += k
         n_sure[0] += k
-    for text in placeholders:
-        for kind, content, *_ in spans(text):
+    for got, k in [*((spans(text), 1.0) for text in placeholders), *spanned.values()]:
+        for kind, content, *_ in got:
             for f in set(span_features(kind, content)):
-                sure_pos[f] += 1
-            n_sure[1] += 1
+                sure_pos[f] += k
+            n_sure[1] += k
     each = [max(STANDARD_LEAST, STANDARD_SHARE * n) for n in n_sure]
     for text in EXAMPLES:
         for kind, content, *_ in spans(text):
@@ -208,13 +218,14 @@ def fit(trusted: list[tuple[str, int]], placeholders: list[str], unlabelled: lis
         sure_pos["x:" + x] += each[0]
         n_sure[0] += each[0]
     bags: list[tuple[int, set[str]]] = []
+    known_bags: list[bool] = []  # a trusted phrase is one wherever it stands, so among the unlabelled too, and so is a trusted placeholder
     for text in unlabelled:
-        bags += [(0, features(part, m.phrases, m.idioms)) for part in parts(text)]
-        bags += [(1, set(span_features(k, c))) for k, c, *_ in spans(text)]
-    bags = [b for b in bags if b[1]]
+        made = [(0, b) for part in parts(text) if (b := features(part, m.phrases, m.idioms))]
+        known_bags += [any(t[0] == "p" for t in b) for _, b in made]
+        got = spans(text)
+        known_bags += [bool(got) and bare(text) in spanned] * len(got)
+        bags += made + [(1, set(span_features(k, c))) for k, c, *_ in got]
     sure_marks = {"m:" + k for k in _SURE_KINDS}
-    # a trusted phrase is one wherever it stands, so among the unlabelled too
-    known_bags = [any(t[0] == "p" for t in b) for _, b in bags]
     weight = [float(k) for k in known_bags]
     for _ in range(max(1, rounds)):
         pos, neg, n_pos, n_neg = Counter(sure_pos), Counter(), list(n_sure), [0.0, 0.0]
@@ -360,22 +371,42 @@ def learn(rows: DataFrame, source_col: str = "sourceId", title_col: str = "title
     ship(rows.sparkSession)
     col = lambda c: F.col(f"`{c}`")
     fold = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), r"\d+", "0"))
-    marks = F.col("v").rlike(r"[{%\[<*#@_$]")
-    values = rows.select(F.explode(F.array(*[F.struct(F.lit(f == title_col).alias("is_title"), col(f).alias("v")) for f in fields])).alias("x"), col(source_col).alias("s"), F.xxhash64(col(id_col)).alias("h"))
-    values = values.select("x.is_title", "x.v", "s", "h").where("v is not null and trim(v) <> ''")
-    keyed = values.withColumn("key", F.xxhash64(fold(F.col("v"))))
-    t_only = lambda c: F.when(F.col("is_title"), c)
-    once = keyed.groupBy("key", "s").agg(
-        F.count("*").alias("n"), F.count_if(marks).alias("marked"), F.min(t_only(F.col("v"))).alias("t"), F.max("is_title").alias("title"), F.min("is_title").alias("only_title"),
-        F.min(t_only(F.col("h"))).alias("t_from"), F.max(t_only(F.col("h"))).alias("t_to"), F.min("h").alias("h_from"), F.max("h").alias("h_to"),
+    marks = lambda c: c.rlike(r"[{%\[<*#@_$]")
+    at = range(len(fields))
+    w, key, has = ([F.col(f"{k}{i}") for i in at] for k in ("w", "key", "has"))
+    own = rows.select(col(source_col).alias("s"), F.xxhash64(col(id_col)).alias("h"), *[x for i, f in enumerate(fields) for x in (col(f).alias(f"v{i}"), fold(col(f)).alias(f"w{i}"), marks(col(f)).alias(f"marked{i}"))])
+    # a value with marks is known by them, any other by its words
+    marked_key = lambda i: F.regexp_replace(F.lower(F.rtrim(F.trim(F.col(f"v{i}")), F.lit(" .!"))), r"\d+", "0")
+    own = own.select("*", *[F.xxhash64(F.when(F.col(f"marked{i}"), marked_key(i)).otherwise(w[i])).alias(f"key{i}") for i in at], *[F.coalesce(w[i] != "", F.lit(False)).alias(f"has{i}") for i in at])
+    # the story that a value belongs to, by its texts; a value that stands alone has its row only
+    story = F.when(sum(x.cast("int") for x in has) > 1, F.xxhash64(*key)).otherwise(F.col("h"))
+    told = lambda i: reduce(Column.__or__, [has[j] & (key[j] != key[i]) for j in at if j != i], F.lit(False))
+
+    def beside(i: int, t: int) -> Column:
+        """Whether a quarter of the words of a text, or more, are words of the title over it."""
+        of_text, of_title = F.split(w[i], " "), F.split(w[t], " ")
+        return has[t] & (F.size(of_text) <= 4 * F.size(of_title)) & (4 * F.size(F.array_intersect(of_text, of_title)) >= F.size(of_text))
+
+    title_at = fields.index(title_col) if title_col in fields else None
+    against = lambda i: told(i) if i == title_at or title_at is None else beside(i, title_at)
+    each = [F.struct(F.lit(i == title_at).alias("is_title"), F.col(f"v{i}").alias("v"), has[i].alias("has"), key[i].alias("key"), F.col(f"marked{i}").alias("marked"), against(i).alias("against")) for i in at]
+    values = own.select(F.explode(F.array(*each)).alias("x"), "s", "h", story.alias("story")).select("x.*", "s", "h", "story").where("v is not null and trim(v) <> ''")
+    t_only = lambda c: F.when(F.col("is_title"), F.col(c))
+    once = values.groupBy("key", "s").agg(
+        F.count("*").alias("n"), F.count_if("marked").alias("marked"), F.min(F.when(F.col("has"), t_only("v"))).alias("t"), F.max("is_title").alias("title"), F.count_if(~F.col("is_title")).alias("texts"),
+        F.count_if(~F.col("is_title") & F.col("against")).alias("under"), F.count_if(F.col("is_title") & F.col("against")).alias("heads"),
+        F.min(t_only("story")).alias("t_from"), F.max(t_only("story")).alias("t_to"), F.min("story").alias("from"), F.max("story").alias("to"),
     )
-    once = written(once.select("key", "s", "n", "marked", "title", "only_title", "t_from", "t_to", "h_from", "h_to", F.when(F.col("key") != F.xxhash64(F.lit("")), F.col("t")).alias("t")), "phrases_once")
+    once = written(once, "phrases_once")
     total, n_marked = (int(x or 0) for x in once.agg(F.sum("n"), F.sum("marked")).first())
+    # publishers count as often as they have stories of their own: copies of one story add nothing
     spread = once.where("s is not null").groupBy("key").agg(
-        F.count("*").alias("spread"), F.min("t").alias("t"), F.max("title").alias("title"), F.min("only_title").alias("only_title"), F.min("t_from").alias("t_from"), F.max("t_to").alias("t_to"), F.min("h_from").alias("h_from"), F.max("h_to").alias("h_to")
-    )
-    # a whole title, and a whole text at another row
-    spread = written(spread.where(f"spread >= {SPREAD} and title and not only_title and t is not null and (t_from <> h_to or t_to <> h_from)"), "spread")
+        F.count_distinct("from").alias("spread"), F.min("t").alias("t"), F.max("title").alias("title"), *[F.sum(c).alias(c) for c in ("texts", "under", "heads")],
+        F.min("t_from").alias("t_from"), F.max("t_to").alias("t_to"), F.min("from").alias("from"), F.max("to").alias("to"),
+    )
+    # a whole title, and a whole text of another story; no headline, which heads stories and is a text below itself for the greater part
+    spread = spread.where(f"spread >= {SPREAD} and title and texts > 0 and t is not null and (t_from <> `to` or t_to <> `from`) and (2 * under < texts or heads = 0)")
+    spread = written(spread.select("key", "spread", "t"), "spread")
     trusted = [(r.t, r.spread) for r in spread.orderBy(F.desc("spread"), "key").limit(TRUSTED_MAX).collect()]
 
     def below(n: int) -> Column:
@@ -383,7 +414,8 @@ def learn(rows: DataFrame, source_col: str = "sourceId", title_col: str = "title
         part = min(1.0, 1.2 * UNLABELLED_MAX / max(n, 1))
         return F.lit(True) if part >= 1 else F.col("h") < F.lit(int(-(1 << 63) + part * ((1 << 64) - 1)))
 
-    taken = values.where(below(total) | marks & below(n_marked)).select("h", "v", marks.alias("marked"), below(total).alias("of_all"), (marks & below(n_marked)).alias("of_marked"))
+    plain = rows.select(F.explode(F.array(*[col(f) for f in fields])).alias("v"), F.xxhash64(col(id_col)).alias("h")).where("v is not null and trim(v) <> ''")
+    taken = plain.where(below(total) | marks(F.col("v")) & below(n_marked)).select("h", "v", below(total).alias("of_all"), (marks(F.col("v")) & below(n_marked)).alias("of_marked"))
     rows_taken = sorted((r.h, r.v, r.of_all, r.of_marked) for r in taken.collect())  # 2.4 times UNLABELLED_MAX, about
     unlabelled, made = [r[1] for r in rows_taken if r[2]][:UNLABELLED_MAX], [r[1] for r in rows_taken if r[3]][:UNLABELLED_MAX]
     m = fit(trusted, [v for v in made if all_placeholders(v)], unlabelled + made, idioms=idioms(rows, source_col, fields))

@@ -88,3 +88,25 @@ def test_what_is_both_title_and_text_is_trusted(spark):
     m = learn(spark.createDataFrame(rows, "row_id long, sourceId string, title string, excerpt string"))
     assert "qui va il corpo" in m.phrases and any(p.startswith("the error page") for p in m.phrases)
     assert not m.phrases & {"studio opens a workshop in orrin", "one source only", "same as its text"}
+
+
+def test_headlines_repeated_below_themselves_are_not_trusted(spark):
+    row = lambda i, s, t, x: (i, s, t, x)
+    rows = [row(i, f"s{i}", f"Hall {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} opens", f"A hall {i}.") for i in range(100)]
+    rows += [row(200 + i, f"s{i}", "Studio 404 opens a workshop in Orrin", f"The stone of quarry {i} is reused.") for i in range(5)]
+    rows += [row(300, "s9", "Studio 404 opens a workshop in Orrin", "Studio 404 opens a workshop in Orrin"), row(301, "s8", "Studio 404 opens a workshop in Orrin | The Plinth", "Studio 404 opens a workshop in Orrin")]
+    rows += [row(400 + i, f"s{i}", f"Qui va il corpo {'' if i % 2 else '!'}" if i < 3 else f"A quay of plan {chr(97 + i)}", "Qui va il corpo" if i >= 3 else f"A quay for reader {chr(97 + i)}.") for i in range(6)]
+    rows += [row(500, "s1", "One story at many publishers", "One story at many publishers"), row(501, "s1", "One story at many publishers", "It is told.")]
+    copies = [(10_000 * k + i, f"{s}~{k}", t, x) for k in range(4) for i, s, t, x in rows]  # keys and publishers shifted
+    for of in (rows, copies):
+        m = learn(spark.createDataFrame(of, "row_id long, sourceId string, title string, excerpt string"))
+        assert "qui va il corpo" in m.phrases
+        assert not m.phrases & {"studio 404 opens a workshop in orrin", "one story at many publishers"}
+
+
+def test_trusted_placeholders_of_asking_kinds_stay_where_the_sample_is_full_of_them():
+    keys = ["{{ title }}", "${post.title}", "%%EXCERPT%%", "{{0}}"] * 5
+    rest = [f"A hall of plan {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(900)]
+    for n in (2, 200):  # so many of them in the sample
+        m = fit([("Page not found", 5), ("{0}", 5)], keys, rest + ["{0}", "They call the plots {placeholders} for a school"] * n)
+        assert residue(m, "{0}") and residue(m, "A hall {0} in the hills") and not residue(m, "They call the plots {placeholders} for a school")
